@@ -117,7 +117,8 @@ def shingles(words: Words, size: int, short: bool = True) -> tuple[np.ndarray, n
     w, counts = words.hashes, words.counts
     total = np.zeros(max(0, len(w) - size + 1), U)
     for j in range(size):
-        total += mix(w[j : j + len(total)] + U(j + 1) * _STEP[j % 5]) * _STEP[(j + 1) % 5]
+        place = U((j + 1) * int(_STEP[j % 5]) % (1 << 64))
+        total += mix(w[j : j + len(total)] + place) * _STEP[(j + 1) % 5]
     kept = np.maximum(counts - size + 1, 0)
     few = np.flatnonzero((counts > 0) & (counts < size)) if short else np.empty(0, np.int64)
     number = kept.copy()

@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from hearthlake.llm import exact_dedup, mixing, sharding, url_filter
+from hearthlake.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, substring_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_warc": warc.op2_warc,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_sharding": sharding.op8_sharding,
+    "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_repeated_passages": substring_dedup.op10_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
 }

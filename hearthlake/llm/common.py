@@ -4,6 +4,7 @@ lineage cuts, column checks and bounded sources."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,36 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a few numbers (tens of MB) up to which a side may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which is cheap to count (cut), to be broadcast if it has at most ``rows``
+    rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+class Scratch:
+    """Parquet tables in the shared folder that an operator needs while it runs.
+
+    Columnar and compressed, so a wide intermediate takes a fraction of what a
+    checkpoint of it would. ``close`` deletes them; what is returned must be cut
+    before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import cut, words
+from hearthlake.llm.common import broadcast_if_small, cut, words
 
 #: Hash keys have 60 bits; the upper 16 number the cells of the first pass.
 KEY_BITS, CELL_BITS = 60, 16
@@ -51,9 +51,10 @@ def sample_key(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, seed: int = 7, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, seed: int = 7, size: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """How often a mix takes each document: ``docs``' doc_id and source with size,
-    source_size, target, taken_times (int) and taken (size * taken_times).
+    source_size, target, taken_times (int) and taken (size * taken_times). With
+    ``columns``: these columns of ``docs`` and taken_times.
 
     Every document is taken floor(target / source_size) times. The rest of the
     target is filled by documents in the order of a seeded hash of their id:
@@ -117,10 +118,16 @@ def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, se
     )
     fills = few.groupBy("source", "missing").agg(large_first.alias("found")).select("source", F.explode(fill).alias("fill_key"))
 
-    out = by_source(by_source(rows, targets), last, "left")
+    # a few rows a source, so texts need not be shuffled to meet them
+    ends, fills = broadcast_if_small(cut(by_source(targets, last, "left"))), broadcast_if_small(cut(fills))
+    if columns is not None:
+        rows = docs.withColumn("key", sample_key(F.col("doc_id"), seed))
+    out = by_source(rows, ends.select("source", *(c for c in ends.columns if c not in rows.columns)))
     out = by_source(out, fills, "left", F.col("key") == F.col("fill_key"))
     extra = F.coalesce(F.col("key") <= F.col("end_key"), F.lit(False)) | F.col("fill_key").isNotNull()
     times = F.least(F.col("whole") + extra.cast("int"), F.lit(int(epochs)))
+    if columns is not None:
+        return out.select(*columns, times.alias("taken_times"))
     return out.select(
         "doc_id", "source", "size", "source_size", "target", times.alias("taken_times"), (F.col("size") * times).alias("taken")
     )

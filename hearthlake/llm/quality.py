@@ -122,13 +122,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), K.lists(x.ravel().astype(np.float32), at_x)], ["y", "x"])
 
 
-def _scores(model: Ranking, columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scores(model: Ranking, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in K.chunks(batch.column(columns)):
-                kept = [batch.column(i).slice(lo, hi - lo) for i in range(columns)]
-                names = batch.schema.names[:columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(features(data, at)))], [*names, "score"])
+            column = batch.column(text)
+            found = [model.score(features(data, at)) for _, _, data, at in K.chunks(column)]
+            names = [n for n in batch.schema.names if n != "_text"]
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, "score"])
 
     return run
 
@@ -155,9 +156,9 @@ def score(docs: DataFrame, model: Ranking, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` and score (0 to 1; higher: label 1 is likelier), from whole texts alone.
 
     Null texts are empty ones, which have a score too; no rows give no rows."""
-    kept = docs.select(*columns, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_scores(model, len(columns)), f"{fields}, score double")
+    kept = docs.select(*columns) if "text" in columns else docs.select(*columns, F.col("text").alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text")
+    return kept.mapInArrow(_scores(model, (columns + ["text"]).index("text")), f"{fields}, score double")
 
 
 def learnable(labels: DataFrame, folds: int = 5) -> DataFrame:

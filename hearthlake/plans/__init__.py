@@ -1,0 +1,6 @@
+"""Queries built from the operators."""
+
+
+def load() -> None:
+    """Fills the catalog."""
+    from hearthlake.plans import telemetry_queries  # noqa: F401

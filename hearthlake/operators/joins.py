@@ -50,21 +50,18 @@ def valid_on(facts: DataFrame, versions: DataFrame, day: str, site: str, columns
     """``facts`` with ``columns`` of the version in force on ``day``: that of the fact's site if it has one
     (site column of ``versions``), however old, else that of all sites (null site).
 
-    versions: site, valid_from and columns. They are few and slowly changing, but
-    joined by site, so many sites' versions never meet each other's facts.
+    versions: site, valid_from and columns. Ranges are resolved once for each
+    distinct site and day, not for each fact, and facts then join on these.
     """
-    def latest(versions: DataFrame, on: list[str], name: str) -> DataFrame:
-        by = Window.partitionBy(*on).orderBy("valid_from")
-        rows = versions.withColumn("_to", F.lead("valid_from").over(by)) if on else versions.withColumn("_to", F.lead("valid_from").over(Window.partitionBy(F.lit(0)).orderBy("valid_from")))
-        return rows.select(*[F.col(c).alias(f"_{name}_{c}") for c in on], F.struct(*columns).alias(name), F.col("valid_from").alias(f"_{name}_from"), F.col("_to").alias(f"_{name}_to"))
-
-    d = F.col(day)
-    own = latest(versions.where("site IS NOT NULL"), ["site"], "own")
-    general = latest(versions.where("site IS NULL").drop("site"), [], "general")
-    out = facts.join(own, (F.col(site) == F.col("_own_site")) & (d >= F.col("_own_from")) & (F.col("_own_to").isNull() | (d < F.col("_own_to"))), "left")
-    out = out.join(general, (d >= F.col("_general_from")) & (F.col("_general_to").isNull() | (d < F.col("_general_to"))), "left")
-    chosen = F.coalesce("own", "general")
-    return out.select(facts["*"], *[chosen[c].alias(c) for c in columns])
+    found = F.struct("valid_from", *columns)
+    own = versions.where("site IS NOT NULL").select(F.col("site").alias(site), "valid_from", *columns)
+    general = versions.where("site IS NULL").select(F.lit(1).alias("_one"), "valid_from", *columns)
+    pairs = facts.select(site, day).distinct().join(own, site).where(F.col("valid_from") <= F.col(day))
+    pairs = pairs.groupBy(site, day).agg(F.max_by(found, "valid_from").alias("_own"))
+    days = facts.select(day).distinct().withColumn("_one", F.lit(1)).join(general, "_one").where(F.col("valid_from") <= F.col(day))
+    days = days.groupBy(day).agg(F.max_by(found, "valid_from").alias("_general"))
+    chosen = F.coalesce("_own", "_general")
+    return facts.join(pairs, [site, day], "left").join(days, day, "left").select(*facts.columns, *[chosen[c].alias(c) for c in columns])
 
 
 def within_intervals(rows: DataFrame, intervals: DataFrame, keys: list[str], slack: float, how: str, time: str = "time", start: str = "start", end: str = "end", bucket: float = 86_400.0) -> DataFrame:

@@ -17,25 +17,22 @@ def clean_parents(spaces: DataFrame) -> DataFrame:
 
 
 def closure(spaces: DataFrame, stop: str | None = None) -> DataFrame:
-    """(ancestor, id, depth): each space under itself and all above it, from the roots down.
+    """(ancestor, id): each space under itself and under all above it, from the roots down.
 
-    ``stop``: a boolean column of ``spaces``; nothing below a space where it holds
-    is counted to those above that space. Spaces in a cycle of parents are absent
-    (they have no root). One equi-join a level.
+    ``stop``: a boolean column of ``spaces``; what is below a space where it holds
+    is counted neither to it nor above it. Spaces in a cycle of parents have no
+    root and are absent. One equi-join a level of nesting.
     """
-    rows = clean_parents(spaces)
     stop_at = F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))
-    edges = rows.select("id", "parent_id", stop_at.alias("_stop"))
-    roots = edges.where("parent_id IS NULL")
-    below = edges.where("parent_id IS NOT NULL")
-    level = roots.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"), F.col("_stop"))
+    edges = clean_parents(spaces).select("id", "parent_id", stop_at.alias("_stop"))
+    below = edges.where("parent_id IS NOT NULL").persist()
+    level = edges.where("parent_id IS NULL").select(F.col("id").alias("ancestor"), "id", "_stop").persist()
     out = level
-    for depth in range(1, MAX_DEPTH + 1):
+    for _ in range(MAX_DEPTH):
         step = below.alias("b").join(level.alias("l"), F.col("b.parent_id") == F.col("l.id"))
-        # under the ancestors of its parent (unless the parent keeps all below it to itself), and under itself
-        up = step.where("NOT l._stop OR l.ancestor = l.id").select("l.ancestor", "b.id", F.lit(depth).alias("depth"), "b._stop")
-        own = step.where("l.ancestor = l.id").select(F.col("b.id").alias("ancestor"), "b.id", F.lit(depth).alias("depth"), "b._stop")
-        level = up.union(own)
+        up = step.where("NOT l._stop").select("l.ancestor", "b.id", "b._stop")
+        own = step.where("l.ancestor = l.id").select(F.col("b.id").alias("ancestor"), "b.id", "b._stop")
+        level = up.union(own).persist()
         if level.isEmpty():
             return out.select("ancestor", "id")
         out = out.union(level)
@@ -50,9 +47,9 @@ def roll_up(spaces: DataFrame, facts: DataFrame, measures: list[str], period: li
     children have is not added, and other is what they leave of it.
     """
     spaces = clean_parents(spaces)
-    ties = closure(spaces)
+    ties = closure(spaces).persist()
     tree = spaces.select("id", "parent_id", F.coalesce("covers_descendants", F.lit(False)).alias("covers"))
-    own = facts.groupBy("id", *period).agg(*[F.sum(m).alias(m) for m in measures])
+    own = facts.groupBy("id", *period).agg(*[F.sum(m).alias(m) for m in measures]).persist()
     covering = own.join(tree.where("covers"), "id").where(F.coalesce(*[F.col(m) for m in measures]).isNotNull()).select(F.col("id").alias("cover"), *period)
     # a fact is hidden from an ancestor if a covering space stands between them (not the ancestor nor the fact's own space)
     paths = own.join(ties, "id")

@@ -115,7 +115,8 @@ def group_rank(rows: DataFrame, keys: list[str], order: Column, tie: str, value:
 def last_minutes(rows: DataFrame, keys: list[str], minutes: float, time: str = "time") -> DataFrame:
     """Rows within ``minutes`` of the series' last, the far end left out."""
     last = F.max(time).over(Window.partitionBy(*keys))
-    return rows.where(F.unix_micros(time) > F.unix_micros(last) - int(minutes * 60_000_000))
+    rows = rows.withColumn("_last", last)
+    return rows.where(F.unix_micros(time) > F.unix_micros("_last") - int(minutes * 60_000_000)).drop("_last")
 
 
 def tail(rows: DataFrame, keys: list[str], n: int, time: str = "time") -> DataFrame:

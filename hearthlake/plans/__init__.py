@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Fills the catalog."""
-    from hearthlake.plans import telemetry_queries  # noqa: F401
+    from hearthlake.plans import energy_queries, telemetry_queries, template_queries  # noqa: F401

@@ -54,7 +54,7 @@ def exact_groups(docs: DataFrame, content: Callable[[Column], Column] = content_
         .join(fewer, "h", "left")
         .select(
             "doc_id",
-            F.coalesce("odd_keep", "keep_id", "doc_id").alias("keep_id"),
+            F.when(F.col("odd_size").isNotNull(), F.col("odd_keep")).otherwise(F.coalesce("keep_id", "doc_id")).alias("keep_id"),
             F.coalesce("odd_size", F.col("group_size") - F.coalesce("lost", F.lit(0)), F.lit(1)).cast("long").alias("group_size"),
             "text_sha256",
         )

@@ -155,10 +155,10 @@ def version_in_force(spark, sf_dir: str) -> DataFrame:
     return valid_on(days, versions, "day", "s", ["factor"]).select(F.col("s").alias("site"), F.date_format("day", "yyyy-MM-dd").alias("day"), "factor")
 
 
-@query(f"SELECT space_id % 20 AS site, strftime(day, '%Y-%m') AS month, round(sum(kwh), 6) AS kwh, round(sum(krw), 4) AS krw, round(sum(tco2), 8) AS tco2, round(least(1, greatest(0, sum(estimated_kwh) / sum(kwh))), 6) AS estimated_ratio FROM {PICKED} GROUP BY ALL")
+@query(f"SELECT space_id % 20 AS site, strftime(day, '%Y-%m') AS month, round(sum(kwh), 6) AS kwh, round(sum(krw), 4) AS krw, round(sum(tco2), 10) AS tco2, round(least(1, greatest(0, sum(estimated_kwh) / sum(kwh))), 6) AS estimated_ratio FROM {PICKED} GROUP BY ALL")
 def energy_metrics_month(spark, sf_dir: str) -> DataFrame:
     rows = energy.pick_source(daily(spark, sf_dir)).groupBy((F.col("space_id") % 20).alias("site"), F.date_format("day", "yyyy-MM").alias("month"))
-    out = rows.agg(F.round(F.sum("kwh"), 6).alias("kwh"), F.round(F.sum("krw"), 4).alias("krw"), F.round(F.sum("tco2"), 8).alias("tco2"), F.sum("estimated_kwh").alias("e"), F.sum("kwh").alias("k"))
+    out = rows.agg(F.round(F.sum("kwh"), 6).alias("kwh"), F.round(F.sum("krw"), 4).alias("krw"), F.round(F.sum("tco2"), 10).alias("tco2"), F.sum("estimated_kwh").alias("e"), F.sum("kwh").alias("k"))
     return out.withColumn("estimated_ratio", F.round(energy.estimated_ratio(F.col("e"), F.col("k")), 6)).drop("e", "k")
 
 

@@ -135,4 +135,28 @@ def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, se
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, cyclic_weights(5, 2, 1), share=1.5, epochs=2)
+    return mix(docs, cyclic_weights(5, 2, 1), share=1.5, epochs=2).withColumn("target", F.round("target", 6))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
+c AS (SELECT *, sum(cap) OVER w + cap / weight * (sum(weight) OVER () - sum(weight) OVER w) <= budget AS capped FROM r
+  WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * ((budget - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())
+  / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()) END::DOUBLE AS target FROM c),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM d JOIN (SELECT source AS src, source_size, target, whole, target - whole * source_size AS rest FROM q) ON src IS NOT DISTINCT FROM source),
+m AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (WHERE upto <= rest), 0) AS missing FROM u GROUP BY source),
+l AS (SELECT u.source, key, missing, sum(size) AS size FROM u JOIN m ON m.source IS NOT DISTINCT FROM u.source WHERE upto > rest AND size > 0 GROUP BY ALL HAVING sum(size) <= missing),
+k AS (SELECT source, missing, min({'key': key, 'size': size}) AS x FROM l GROUP BY source, missing, floor(log2(size)), key % 4),
+o AS (SELECT source, x.key AS key, x.size AS size, row_number() OVER (PARTITION BY source ORDER BY x.size DESC, x.key) AS i FROM k),
+f AS (SELECT source, 0::BIGINT AS i, missing::DOUBLE AS rest, NULL::BIGINT AS key, false AS taken FROM m
+  UNION ALL SELECT f.source, o.i, CASE WHEN o.size <= f.rest THEN f.rest - o.size ELSE f.rest END, o.key, o.size <= f.rest FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i + 1)
+SELECT u.doc_id, u.source, u.size, u.source_size, round(u.target, 6) AS target,
+  least(2, u.whole + CASE WHEN u.upto <= u.rest OR f.taken THEN 1 ELSE 0 END)::INTEGER AS taken_times,
+  (u.size * least(2, u.whole + CASE WHEN u.upto <= u.rest OR f.taken THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM u LEFT JOIN f ON f.taken AND f.key = u.key AND f.source IS NOT DISTINCT FROM u.source
+"""

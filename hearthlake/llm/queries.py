@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,

@@ -225,3 +225,109 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
             todo.append((mine[x[mine, f] < at], rows[x[rows, f] < at], d + 1))
             todo.append((mine[x[mine, f] >= at], rows[x[rows, f] >= at], d + 1))
     return 2 ** (-depth / trees / max(usual(size), 1e-9))
+
+
+def seasonal_regression(y: np.ndarray, period: int, horizon: int, x: np.ndarray | None = None, x_next: np.ndarray | None = None) -> np.ndarray:
+    """Level, harmonics of the season and covariates by least squares, whose residuals follow an ARMA(1, 1);
+    weights of the residuals by least one-step error (conditional sum of squares)."""
+    n = len(y)
+    t = np.arange(n + horizon)
+    waves = [f(2 * np.pi * k * t / period) for k in range(1, min(4, period // 2) + 1) for f in (np.sin, np.cos)] if period >= 2 and n >= 2 * period else []
+    design = np.stack([np.ones(n + horizon), *waves], 1)
+    if x is not None and x_next is not None:
+        design = np.hstack([design, np.vstack([x, x_next])])
+    beta = np.linalg.lstsq(design[:n], y, rcond=None)[0]
+    rest = y - design[:n] @ beta
+
+    def errors(phi: float, theta: float) -> tuple[float, float]:
+        e, total = 0.0, 0.0
+        for i in range(1, n):
+            e = rest[i] - phi * rest[i - 1] - theta * e
+            total += e * e
+        return total, e
+
+    grid = [(p, q) for p in (0.0, 0.3, 0.6, 0.8, 0.95) for q in (-0.4, 0.0, 0.4)]
+    phi, theta = min(grid, key=lambda g: errors(*g)[0])
+    step, out = phi * rest[-1] + theta * errors(phi, theta)[1], []
+    for _ in range(horizon):
+        out.append(step)
+        step *= phi
+    return design[n:] @ beta + np.array(out)
+
+
+class BoostedTrees:
+    """Least-squares boosting of trees of two levels over quantile cuts."""
+
+    def __init__(self, rounds: int = 100, rate: float = 0.05, cuts: int = 16):
+        self.rounds, self.rate, self.cuts, self.trees, self.base = rounds, rate, cuts, [], 0.0
+
+    def _split(self, x: np.ndarray, y: np.ndarray) -> tuple[int, float] | None:
+        best = (1e-12, None)
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            v, s = x[order, f], np.cumsum(y[order])
+            at = np.unique(np.linspace(1, len(y) - 1, self.cuts + 1).astype(int)) if len(y) > 2 else np.empty(0, int)
+            at = at[v[at] != v[at - 1]] if len(at) else at
+            if len(at):
+                left = s[at - 1]
+                gain = left**2 / at + (s[-1] - left) ** 2 / (len(y) - at) - s[-1] ** 2 / len(y)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (gain[k], (f, (v[at[k]] + v[at[k] - 1]) / 2))
+        return best[1]
+
+    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int) -> tuple | float:
+        cut = self._split(x, y) if depth and len(y) >= 10 else None
+        if cut is None:
+            return float(y.mean())
+        low = x[:, cut[0]] < cut[1]
+        return (*cut, self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1))
+
+    def _value(self, tree: tuple | float, x: np.ndarray) -> np.ndarray:
+        if isinstance(tree, float):
+            return np.full(len(x), tree)
+        f, at, low, high = tree
+        return np.where(x[:, f] < at, self._value(low, x), self._value(high, x))
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        self.base = float(y.mean())
+        rest = y - self.base
+        for _ in range(self.rounds):
+            tree = self._grow(x, rest, 2)
+            self.trees.append(tree)
+            rest = rest - self.rate * self._value(tree, x)
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.base + self.rate * sum((self._value(t, x) for t in self.trees), np.zeros(len(x)))
+
+
+def boosted_forecast(y: np.ndarray, period: int, horizon: int) -> np.ndarray:
+    """Boosted trees on lags 1, 2, 3, one and two periods and the place in the period, fed with their own forecasts."""
+    lags = sorted({k for k in (1, 2, 3, period, 2 * period) if 0 < k < len(y) // 2})
+    if not lags:
+        return np.full(horizon, y.mean())
+    most = max(lags)
+    place = np.arange(len(y) + horizon) % max(period, 1)
+    x = np.stack([*(y[most - k : len(y) - k] for k in lags), place[most : len(y)]], 1)
+    model, known = BoostedTrees().fit(x, y[most:]), list(y)
+    for h in range(horizon):
+        row = np.array([[*(known[-k] for k in lags), place[len(y) + h]]])
+        known.append(float(model.predict(row)[0]))
+    return np.array(known[len(y) :])
+
+
+FORECASTS = {"HOLT_WINTERS": holt_winters, "SARIMAX": seasonal_regression, "GRADIENT_BOOSTING": boosted_forecast}
+
+
+def best_period(y: np.ndarray) -> int:
+    """A week of hours unless a day forecasts clearly better on the last fifth (0 without two days)."""
+    held = max(1, len(y) // 5)
+    score = {}
+    for p in (24, 168):
+        if len(y) - held >= 2 * p:
+            out = holt_winters(y[:-held], p, held)
+            score[p] = np.mean(np.abs(out - y[-held:]) / np.maximum(np.abs(y[-held:]), 1e-9))
+    if not score:
+        return 0
+    return 24 if 168 not in score or score.get(24, np.inf) < 0.85 * score[168] else 168

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlake.operators import service, stats
+from hearthlake.operators import models, service, stats
 from hearthlake.plans import templates as tpl
 from hearthlake.plans.catalog import query
 from hearthlake.plans.telemetry_queries import HOURS, by_metric, epoch, normal
@@ -147,6 +147,36 @@ def forecast_smoothing(spark, sf_dir: str) -> DataFrame:
     return tpl.forecast(tel.binned(normal(spark, sf_dir), "1h", ["metric_key"]).withColumnRenamed("bucket", "time"), ["metric_key"])
 
 
+@query()
+def forecast_seasonal_regression(spark, sf_dir: str) -> DataFrame:
+    return tpl.forecast(tel.binned(normal(spark, sf_dir), "1h", ["metric_key"]).withColumnRenamed("bucket", "time"), ["metric_key"], method="SARIMAX")
+
+
+@query()
+def forecast_boosting(spark, sf_dir: str) -> DataFrame:
+    return tpl.forecast(tel.binned(normal(spark, sf_dir), "1h", ["metric_key"]).withColumnRenamed("bucket", "time"), ["metric_key"], method="GRADIENT_BOOSTING")
+
+
+@query(f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY metric_key ORDER BY bucket) AS i, count(*) OVER (PARTITION BY metric_key) AS n, lag(value, 24) OVER (PARTITION BY metric_key ORDER BY bucket) AS p FROM {HOURS})
+  SELECT metric_key, max(n) AS points, round(quantile_cont(value, 0.9), 6) AS ninth, round(avg(abs(value - p)) FILTER (WHERE i > n - 48), 6) AS mae FROM h GROUP BY metric_key""")
+def training_figures(spark, sf_dir: str) -> DataFrame:
+    rows = tel.binned(normal(spark, sf_dir), "1h", ["metric_key"]).withColumnRenamed("bucket", "time")
+    out = models.training_figures(rows, ["metric_key"])
+    return out.select("metric_key", "points", F.round(F.col("edges")[9], 6).alias("ninth"), F.round("mae", 6).alias("mae"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, CASE o_orderstatus WHEN 'O' THEN 'CANDIDATE' WHEN 'F' THEN 'RETIRED' ELSE 'ACTIVE' END AS status, o_totalprice AS mae FROM orders),
+  c AS (SELECT k, max(version) AS v, arg_max(mae, version) AS m FROM m WHERE status = 'CANDIDATE' GROUP BY k), a AS (SELECT k, arg_max(mae, version) AS m FROM m WHERE status = 'ACTIVE' GROUP BY k)
+  SELECT m.k AS model, m.version::BIGINT AS version, CASE WHEN c.v IS NOT NULL AND coalesce(c.m <= a.m, true) AND m.version = c.v THEN 'ACTIVE' WHEN c.v IS NOT NULL AND coalesce(c.m <= a.m, true) AND status = 'ACTIVE' THEN 'RETIRED' ELSE status END AS status
+  FROM m LEFT JOIN c ON c.k = m.k LEFT JOIN a ON a.k = m.k""")
+def model_promotion(spark, sf_dir: str) -> DataFrame:
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    status = F.when(F.col("o_orderstatus") == "O", "CANDIDATE").when(F.col("o_orderstatus") == "F", "RETIRED").otherwise("ACTIVE")
+    version = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    rows = runs.select(F.col("o_custkey").alias("model"), version.alias("version"), status.alias("status"), F.col("o_totalprice").alias("mae"))
+    return models.states(rows, ["model"]).select("model", "version", "status")
+
+
 @query()
 def theil_sen_eta(spark, sf_dir: str) -> DataFrame:
     return tpl.threshold_eta(by_metric(spark, sf_dir), ["metric_key"], 100, window=720)

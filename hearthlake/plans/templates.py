@@ -86,17 +86,20 @@ def multivariate_anomalies(wide: DataFrame, key: str, names: list[str], sensitiv
     return windows.runs(scored, [key], F.col("smooth") > ML_SENSITIVITY[sensitivity], 2, time, [F.round(F.max("smooth"), 4).alias("score")]).drop("island")
 
 
-def forecast(hourly: DataFrame, keys: list[str], period: int = 24, horizon: int = 48, time: str = "time") -> DataFrame:
-    """(keys, step, forecast, lower80, upper80, lower95, upper95): smoothing of each series' hourly
-    means with intervals from its errors on the last fifth (split conformal)."""
+def forecast(hourly: DataFrame, keys: list[str], period: int | None = 24, horizon: int = 48, time: str = "time", method: str = "HOLT_WINTERS") -> DataFrame:
+    """(keys, step, forecast, lower80, upper80, lower95, upper95): forecast of each series' hourly means by
+    ``method`` (see kernels.FORECASTS), with intervals from its errors on the last fifth (split conformal).
+    ``period`` None: a day or a week, whichever forecasts better."""
+    ahead = kernels.FORECASTS[method]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(time)["value"].interpolate(limit_direction="both").to_numpy(float)
         name = {k: pdf[k].iloc[0] for k in keys}
         if len(y) < 3:
             return pd.DataFrame({**{k: pd.Series([], dtype=object) for k in keys}, "step": pd.Series([], dtype="int32")}).reindex(columns=columns)
-        held = max(1, min(len(y) // 5, horizon))
-        errors = np.abs(y[-held:] - kernels.holt_winters(y[:-held], period, held)) if len(y) > held + 2 else np.abs(np.diff(y))
-        out = kernels.holt_winters(y, period, horizon)
+        held, cycle = max(1, min(len(y) // 5, horizon)), kernels.best_period(y) if period is None else period
+        errors = np.abs(y[-held:] - ahead(y[:-held], cycle, held)) if len(y) > held + 2 else np.abs(np.diff(y))
+        out = ahead(y, cycle, horizon)
         q80, q95 = np.quantile(errors, [0.8, 0.95])
         return pd.DataFrame({**name, "step": np.arange(1, horizon + 1), "forecast": out, "lower80": out - q80, "upper80": out + q80, "lower95": out - q95, "upper95": out + q95})
 

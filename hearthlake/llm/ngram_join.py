@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlake.llm import kernels as K
-from hearthlake.llm.common import cut
+from hearthlake.llm.common import Scratch, broadcast_if_small, cut
 from hearthlake.llm.components import components
 
-#: Ids that a broadcast may hold (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 #: Members of a group that a query opens first, and by how much later rounds grow.
 FIRST_MEMBERS, GROWTH = 4, 16
+#: Documents of a column from which on rare tokens, not the column, say which of them are compared.
+CROWD = 16
 SEEDS = 8
 
 
@@ -96,34 +96,34 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def matrix(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of the matrix: one for each token block of each document, with aux 0, and
-    one for each document, with the 128-bit hash of its whole set in (sig, aux)."""
+    """Cells of the matrix: one for each token block of each document (aux: its blocks), and one
+    for each document (aux < 0) in which sig and aux hash its whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for lo, hi, tokens, first in _sets(batch.column(1), size):
                 n, some = np.diff(first), first[:-1] < first[1:]
+                ids = batch.column(0).slice(lo, hi - lo)
+                named = ids.is_valid().to_numpy(zero_copy_only=False)
                 whole = np.zeros((2, hi - lo), K.U)
                 for k in range(2):
                     if len(tokens):
                         whole[k][some] = np.add.reduceat(K.mix(tokens ^ K._STEP[k]), first[:-1][some])
                     whole[k] = K.mix(whole[k] + n.astype(K.U) * K._STEP[2 + k])
-                ids_here = ids.slice(lo, hi - lo)
-                if not some.all():  # sets without tokens are not equal to one another
-                    alone = K.mix(np.nan_to_num(ids_here.fill_null(-1).to_numpy()).astype(np.int64).view(K.U))
-                    whole[0][~some] = alone[~some]
+                # what has no tokens or no id is equal to nothing
+                alone = K.mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(K.U) ^ K._STEP[1])
+                whole[0] = np.where(some & named, whole[0], alone)
                 row, sig, have = blocks(tokens, first, percent)
-                row = np.append(np.arange(hi - lo), row)
+                keep = named[row]
+                row, sig, have = np.append(np.arange(hi - lo), row[keep]), sig[keep], have[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.append(whole[0], sig).view(np.int64)),
-                        pa.array(np.append(whole[1] | K.U(1), np.zeros(len(sig), K.U)).view(np.int64)),
-                        ids_here.take(pa.array(row)),
+                        pa.array(np.append((whole[1] | K.U(1 << 63)).view(np.int64), have)),
+                        ids.take(pa.array(row)),
                         pa.array(n[row].astype(np.int32)),
-                        pa.array(np.append(np.zeros(hi - lo), have).astype(np.int32)),
                     ],
-                    ["sig", "aux", "doc", "n", "blocks"],
+                    ["sig", "aux", "doc", "n"],
                 )
 
     return run
@@ -132,16 +132,125 @@ def matrix(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def token_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, tokens, first in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), K.lists(tokens, first)], ["doc", "tokens"])
+            for lo, hi, tokens, first in _sets(batch.column("text"), size):
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), K.lists(tokens, first)], ["doc", "tokens"])
 
     return run
 
 
+def compare(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of a group's leading document (rank 0, first in its group) and those after it that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leads = None, []
+        for batch in batches:
+            a, salt, rank, doc = (batch.column(c).to_numpy() for c in ("a", "salt", "rank", "doc"))
+            found = []
+            for lo, hi, tokens, first in _sets(batch.column("text"), size):
+                for r in range(lo, hi):
+                    mine = tokens[first[r - lo] : first[r - lo + 1]]
+                    if group != (a[r], salt[r]):
+                        group, leads = (a[r], salt[r]), []
+                    if rank[r] == 0:
+                        leads.append(mine.copy())
+                        continue
+                    for lead in leads:
+                        if 100 * min(len(lead), len(mine)) < percent * max(len(lead), len(mine)):
+                            continue
+                        both = len(np.intersect1d(lead, mine, assume_unique=True))
+                        if both and 100 * both >= percent * (len(lead) + len(mine) - both):
+                            found.append((a[r], doc[r]))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return run
+
+
+#: Documents that a leading document's set is compared with in one task; more are dealt to several.
+GROUP_ROWS = 512
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are alike: each text goes to the leading documents that it is
+    compared with, once, and a leading document with many others to several tasks."""
+    loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    others = pairs.join(loads, "a").select(F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("rank"))
+    leads = loads.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("rank"))
+    wanted = broadcast_if_small(cut(others.union(leads)))
+    rows = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("a", "salt", "rank", "doc", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "rank")
+    return cut(rows.mapInArrow(compare(size, percent), "a long, b long").distinct())
+
+
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
 
 
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of n and m must share at least."""
+    return F.ceil(percent * (n + m).cast("long") / (100 + percent))
+
+
+def _few_queries(few: DataFrame, percent: int) -> DataFrame:
+    """(doc, group, members) of columns of few documents: the group's union must have enough of the document's blocks."""
+    by = ["sig", F.col("component").alias("group")]
+    union = few.groupBy(*by).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
+    unlike = F.floor((100 - percent) * (F.col("n") + F.least("most", F.floor(F.col("n") * 100 / percent))) / (100 + percent))
+    return (
+        few.join(union, "sig")
+        .where("component <> group")
+        .groupBy("doc", "n", "blocks", "group")
+        .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("members").alias("members"))
+        .where(F.col("common") >= F.col("blocks") - unlike)
+        .where((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
+        .select("doc", "group", "members")
+    )
+
+
+def _hopeful(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` of documents whose columns shared with anyone are as many as they must share with one, in columns of several groups."""
+    unlike = F.floor((100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / (100 + percent))
+    have = F.count("*").over(Window.partitionBy("doc", "n", "blocks"))
+    rows = rows.withColumn("have", have).where(F.col("have") >= F.col("blocks") - unlike).drop("have")
+    column = Window.partitionBy("sig")
+    return rows.withColumns({"lo": F.min("component").over(column), "hi": F.max("component").over(column)}).where("lo <> hi").drop("lo", "hi")
+
+
+def _tokens(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
+    """(row, doc, via): the tokens of each row of ``texts`` whose document is in ``crowd``."""
+    rows = texts.join(broadcast_if_small(crowd.select("doc").distinct()), F.col("doc_id") == F.col("doc")).select("doc", "text")
+    rows = rows.mapInArrow(token_sets(size), "doc long, tokens array<long>").withColumn("row", F.monotonically_increasing_id())
+    return rows.select("row", "doc", F.explode("tokens").alias("via"))
+
+
+def _prefixes(tokens: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """(via, doc, n, cap, component): the rarest tokens of each document of crowded columns, rare by how
+    many of these documents have them; cap: tokens from this one on.
+
+    If two sets are alike, their first common token in this order leaves both at
+    least the overlap that they need, so it is among the rows here.
+    """
+    counts = tokens.groupBy("via").agg(F.count("*").alias("docs"))
+    of_row = Window.partitionBy("row")
+    rows = tokens.join(counts, "via").withColumns({"rank": F.row_number().over(of_row.orderBy("docs", "via")) - 1, "n": F.count("*").over(of_row).cast("int")})
+    rows = rows.where(F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n").cast("long") / 100))
+    group = broadcast_if_small(cut(crowd.select("doc", "component").distinct()))
+    return rows.join(group, "doc").select("via", "doc", "n", (F.col("n") - F.col("rank")).cast("int").alias("cap"), "component")
+
+
+def _crowd_queries(prefix: DataFrame, percent: int) -> DataFrame:
+    """(doc, group, members): what a document and the union of a group's prefixes have from a common token
+    on must reach the overlap that the group's smallest set needs."""
+    union = prefix.groupBy("via", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("cap").alias("most_cap"), F.count("*").alias("members"))
+    return (
+        prefix.join(union, "via")
+        .where(F.col("component") != F.col("group"))
+        .where((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
+        .where(F.least("cap", "most_cap") >= _overlap(F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / 100)), percent))
+        .groupBy("doc", "group").agg(F.max("members").alias("members"))
+    )
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
@@ -166,89 +275,73 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
        alike makes groups: the components of these links.
     3. Where a column still holds several groups, each of its documents queries
        the others: the columns that it shares with the union of a group's
-       columns bound the overlap with any member. Only groups that pass are
-       opened, some members of each at first, then more until none is left.
+       columns bound the overlap with any member. In columns of more than CROWD
+       documents the matrix of these documents' rarest tokens takes the columns'
+       place, so that thousands of copies that differ do not meet in pairs. Only
+       groups that pass are opened, some members of each at first, then more
+       until none is left.
 
     Comparisons intersect whole token sets. Rows that share a doc_id are one
     node; a null doc_id is linked with nothing and has no component_id.
     """
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    column = Window.partitionBy("sig", "aux")
+    by_doc = Window.partitionBy("sig").orderBy("doc")
+    lead = F.first(F.struct("doc", "n", "aux")).over(by_doc)
     cells = (
-        texts.mapInArrow(matrix(size, percent), "sig long, aux long, doc long, n int, blocks int")
-        .withColumn("lead", F.min(F.struct("doc", "n")).over(column))
-        .withColumn("cells", F.count("*").over(column))
-        .where("cells > 1 OR aux <> 0")
-        .drop("cells")
-    )
-    cells = cut(cells)
-    same = cells.where("aux <> 0 AND n > 0 AND doc <> lead.doc").select("doc", F.col("lead.doc").alias("first")).distinct()
-    shared = (
-        cells.where("aux = 0 AND doc IS NOT NULL")
-        .join(same, "doc", "left")
-        .select("sig", F.coalesce("first", "doc").alias("doc"), "n", "blocks", "lead")
-        .distinct()
+        texts.mapInArrow(matrix(size, percent), "sig long, aux long, doc long, n int")
+        .withColumns({"lead": lead, "more": F.lead("sig").over(by_doc).isNotNull() | F.lag("sig").over(by_doc).isNotNull()})
+        .where("more OR aux < 0")
+        .select("sig", "aux", "doc", "n", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.aux").alias("lead_aux"))
     )
-    shared = cut(shared.join(shared.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1"), "sig", "left_semi"))
-
-    pairs = shared.where((F.col("doc") != F.col("lead.doc")) & _sizes_fit(F.col("n"), F.col("lead.n"), percent))
-    pairs = cut(pairs.select(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).distinct())
-    ids = shared.select("doc").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = cut(texts.join(ids, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(token_sets(size), "doc long, tokens array<long>"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("x", "y"))
-        return (
-            pairs.join(sets.toDF("a", "x"), "a")
-            .join(sets.toDF("b", "y"), "b")
-            .select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
-            .where(100 * F.col("both").cast("long") >= percent * F.col("any").cast("long"))
-            .select("a", "b")
-        )
-
-    links = cut(same.toDF("a", "b").union(alike(pairs)))
+    cells = scratch.table(cells)
+    same = cut(cells.where("aux < 0 AND n > 0 AND doc <> lead AND aux = lead_aux").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    copies = broadcast_if_small(same.select(F.col("b").alias("doc")).distinct())
+    shared = cells.where("aux >= 0").join(copies, "doc", "left_anti")
+    pairs = shared.where((F.col("doc") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent))
+    pairs = cut(pairs.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    links = same.union(_alike(texts, pairs, size, percent))
     groups = cut(components(links))
 
-    def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        return rows.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-
-    rows = grouped(shared.drop("lead"), groups)
-    several = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    in_group = Window.partitionBy("sig", "component").orderBy(F.xxhash64("doc"), "doc")
-    rows = cut(rows.join(several.select("sig"), "sig", "left_semi").withColumn("place", F.row_number().over(in_group)))
-    union = rows.groupBy("sig", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("place").alias("members"))
-    unlike = F.floor((100 - percent) * (F.col("n") + F.least("most", F.floor(F.col("n") * 100 / percent))) / (100 + percent))
-    queries = (
-        rows.join(union, "sig")
-        .where("component <> group")
-        .groupBy("doc", "n", "blocks", "group")
-        .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("members").alias("members"))
-        .where(F.col("common") >= F.col("blocks") - unlike)
-        .where((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-    )
-    queries = cut(queries.groupBy("doc", "group").agg(F.max("members").alias("members")))
-    most = queries.agg(F.max("members")).first()[0] or 0
-    opened, upto = 0, FIRST_MEMBERS
-    while opened < most:
-        now = groups if not opened else cut(components(links))
-        asked = grouped(queries.where(F.col("members") > opened), now).withColumnRenamed("component", "own")
-        asked = asked.join(now.select(F.col("node").alias("group"), F.col("component").alias("other")), "group", "left")
-        asked = asked.where("own <> coalesce(other, group)").select("doc", "group")
-        member = rows.where(f"place > {opened} AND place <= {upto}").select("sig", F.col("component").alias("group"), F.col("doc").alias("with"), F.col("n").alias("m"))
-        found = (
-            rows.select("sig", "doc", "n").join(asked, "doc").join(member, ["sig", "group"])
-            .where(_sizes_fit(F.col("n"), F.col("m"), percent))
-            .select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b"))
-            .distinct()
-        )
-        links = cut(links.union(alike(found)))
-        opened, upto = upto, upto * GROWTH
-    groups = components(links) if opened else groups
-
-    every = cells.where("aux <> 0").select("doc", F.col("n").cast("long").alias("n_shingles"))
-    return grouped(every, groups).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    def grouped(rows: DataFrame, groups: DataFrame, key: str = "doc", name: str = "component") -> DataFrame:
+        groups = broadcast_if_small(groups.select(F.col("node").alias(key), F.col("component").alias(name)))
+        return rows.join(groups, key, "left").withColumn(name, F.coalesce(name, key))
+
+    rows = grouped(grouped(shared, groups), groups, "lead", "lead_component")
+    several = cut(rows.where("component <> lead_component").select("sig").distinct())
+    if not several.isEmpty():
+        rows = rows.select("sig", "doc", "n", F.col("aux").alias("blocks"), "component")
+        rows = scratch.table(_hopeful(rows.join(broadcast_if_small(several), "sig", "left_semi"), percent))
+        crowded = broadcast_if_small(cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where(f"k > {CROWD}").select("sig")))
+        few = rows.join(crowded, "sig", "left_anti")
+        crowd = cut(rows.join(crowded, "sig", "left_semi").select("doc", "n", "component").distinct())
+        tokens = scratch.table(_tokens(texts, crowd, size))
+        prefix = scratch.table(_prefixes(tokens, crowd, percent))
+        asked = cut(_few_queries(few, percent).union(_crowd_queries(prefix, percent)).groupBy("doc", "group").agg(F.max("members").alias("members")))
+        cells_of = few.select(F.col("sig").alias("via"), "doc", "n", F.lit(1 << 30).alias("cap"), "component").union(prefix)
+        cells_of = scratch.table(cells_of.withColumn("place", F.row_number().over(Window.partitionBy("via", "component").orderBy(F.xxhash64("doc"), "doc"))))
+        most = asked.agg(F.max("members")).first()[0] or 0
+        opened, upto = 0, FIRST_MEMBERS
+        while opened < most:
+            now = grouped(asked.where(F.col("members") > opened), groups, "doc", "own")
+            now = grouped(now, groups, "group", "other").where("own <> other").select("doc", "group")
+            member = cells_of.where(f"place > {opened} AND place <= {upto}")
+            member = member.select("via", F.col("component").alias("group"), F.col("doc").alias("with"), F.col("n").alias("m"), F.col("cap").alias("with_cap"))
+            found = (
+                cells_of.select("via", "doc", "n", "cap").join(broadcast_if_small(cut(now)), "doc").join(member, ["via", "group"])
+                .where(_sizes_fit(F.col("n"), F.col("m"), percent) & (F.least("cap", "with_cap") >= _overlap(F.col("n"), F.col("m"), percent)))
+                .select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b"))
+                .distinct()
+                .join(pairs, ["a", "b"], "left_anti")
+            )
+            links = links.union(_alike(texts, cut(found), size, percent))
+            opened, upto = upto, upto * GROWTH
+            groups = cut(components(links))
+
+    every = cells.where("aux < 0").select("doc", F.col("n").cast("long").alias("n_shingles"))
+    out = cut(grouped(every, groups).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")))
+    scratch.close()
+    return out
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

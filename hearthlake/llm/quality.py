@@ -14,7 +14,7 @@ from hearthlake.llm import kernels as K
 from hearthlake.llm.common import table
 
 #: Bound of the sample of labelled rows that a model is fitted on, and of the pairs drawn from it.
-MAX_LABELS, MAX_PAIRS = 20_000, 40_000
+MAX_LABELS, MAX_PAIRS = 8_000, 16_000
 
 #: Bytes by class; what none of these has (control bytes and the rest) is class 0, bytes beyond ASCII the last.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\v\f", b".", b",", b"!?", b"'\"()-:;[]/", b"|", b"#$%&*@^~+=<>{}_\\`"]

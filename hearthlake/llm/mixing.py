@@ -51,86 +51,99 @@ def sample_key(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def bits(size: Column) -> Column:
+    """Class of size: the binary digits of ``size``, 0 for none."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
+
+
+def _class_ends(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, bits, end_key): of each class of size, documents up to end_key fill the rest of the target."""
+    of_class = Window.partitionBy("source", "bits")
+    cells = rows.where("size > 0").groupBy("source", "bits", F.shiftright("key", LOW_BITS).alias("cell")).agg(F.sum("size").alias("cell_size"))
+    cells = cells.withColumn("before", F.sum("cell_size").over(of_class.orderBy("cell")) - F.col("cell_size")).withColumn("class_size", F.sum("cell_size").over(of_class))
+    near = _by_source(cells, targets.select("source", "source_size", "rest"))
+    near = (
+        near.withColumn("quota", F.col("rest") * F.col("class_size") / F.col("source_size"))
+        .withColumn("reach", F.expr("shiftleft(4L, bits)"))
+        .where("before - reach <= quota AND quota <= before + cell_size + reach")
+        .select("source", F.col("bits").alias("class"), F.col("cell").alias("near_cell"), "before", "quota", "reach")
+    )
+    near = cut(near)
+    in_cell = Window.partitionBy("source", "bits", "near_cell").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+    upto = _by_source(rows, broadcast_if_small(near), (F.col("bits") == F.col("class")) & (F.shiftright("key", LOW_BITS) == F.col("near_cell")))
+    upto = upto.withColumn("upto", F.col("before") + F.sum("size").over(in_cell)).select("source", "class", "quota", "reach", "upto", "key")
+    start = near.select("source", "class", "quota", "reach", F.col("before").alias("upto"), (F.shiftleft("near_cell", LOW_BITS) - 1).alias("key"))
+    end = F.struct("upto", "key")
+    classes = (
+        upto.unionByName(start)
+        .groupBy("source", "class", "quota")
+        .agg(
+            F.collect_set(F.when(F.abs(F.col("upto") - F.col("quota")) <= F.col("reach"), end)).alias("ends"),
+            F.max(F.when(F.col("upto") <= F.col("quota"), end)).alias("below"),
+        )
+        .groupBy("source")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("minus"), "quota", F.array_append("ends", F.col("below")).alias("ends")))).alias("classes"))
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        want = acc["carry"] + x["quota"]
+        best = F.array_min(F.transform(x["ends"], lambda e: F.struct(F.abs(e["upto"] - want).alias("off"), e["upto"].alias("upto"), e["key"].alias("key"))))
+        found = F.struct((-x["minus"]).alias("bits"), best["key"].alias("end_key"))
+        return F.struct((want - best["upto"]).alias("carry"), F.concat(acc["found"], F.array(found)).alias("found"))
+
+    nothing = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<bits:int,end_key:bigint>>").alias("found"))
+    return classes.select("source", F.inline(F.aggregate("classes", nothing, step)["found"]))
+
+
+def _by_source(left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
+    right = right.withColumnRenamed("source", "_source")
+    on = F.col("source").eqNullSafe(F.col("_source"))
+    return left.join(right, on if more is None else on & more).drop("_source")
+
+
 def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, seed: int = 7, size: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """How often a mix takes each document: ``docs``' doc_id and source with size,
     source_size, target, taken_times (int) and taken (size * taken_times). With
     ``columns``: these columns of ``docs`` and taken_times.
 
     Every document is taken floor(target / source_size) times. The rest of the
-    target is filled by documents in the order of a seeded hash of their id:
-    sums by (source, hash cell) find the cell in which the rest ends, a window
-    over that one cell (2**-16 of the source) the last document that fits, and
-    what is still missing is filled greedily from a few later documents of each
-    power of two of size. So each source ends within a small document of its
-    target, in whole documents, and reruns agree. Nothing but small rows is
-    shuffled, and the one cell of a source is all that a task ever sorts.
+    target is sampled by classes of size (powers of two): each class fills its
+    share of the rest, in the order of a seeded hash of doc_id, to the nearest
+    document, and what is too much or too little passes on to the next smaller
+    class. So a very long document leaves no gap, each source ends within a small
+    document of its target in whole documents, and reruns agree. Sums by (source,
+    class, hash cell) find the few cells around each class's share, windows over
+    these cells (2**-16 of the class each) the documents to end at. Nothing but
+    small rows is shuffled, and one cell is all that a task ever sorts.
 
     Nulls: a null text has size 0, a null source is a source of its own, rows
-    with null or equal doc_id within a source are sampled together. Empty tables
+    with null or equal doc_id within a source and class are sampled together.
+    Documents of size 0 are taken floor(target / source_size) times. Empty tables
     give no rows. Other columns of ``docs`` may have any name.
     """
     size = words(F.col("text")) if size is None else size
-    rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), sample_key(F.col("doc_id"), seed).alias("key")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    size, key = size.cast("long"), sample_key(F.col("doc_id"), seed)
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), bits(size).alias("bits")))
     targets = cut(
-        source_targets(sizes, weight, share, epochs)
+        source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weight, share, epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-
-    def by_source(left: DataFrame, right: DataFrame, how: str = "inner", more: Column | None = None) -> DataFrame:
-        right = right.withColumnRenamed("source", "_source")
-        on = F.col("source").eqNullSafe(F.col("_source"))
-        return left.join(right, on if more is None else on & more, how).drop("_source")
-
-    in_cells = Window.partitionBy("source").orderBy("cell")
-    cells = rows.groupBy("source", F.shiftright("key", LOW_BITS).alias("cell")).agg(F.sum("size").alias("cell_size"))
-    cells = cells.withColumn("before", F.sum("cell_size").over(in_cells) - F.col("cell_size"))
-    ends = by_source(cells, targets.select("source", "rest")).where("before <= rest AND rest < before + cell_size")
-    ends = ends.select("source", F.col("cell").alias("end_cell"), "before", "rest")
-    in_cell = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    last = (
-        by_source(rows, ends, "inner", F.shiftright("key", LOW_BITS) == F.col("end_cell"))
-        .withColumn("upto", F.col("before") + F.sum("size").over(in_cell))
-        .groupBy("source", "end_cell", "before", "rest")
-        .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("key", "upto"))).alias("fit"))
-        .select(
-            "source",
-            F.coalesce("fit.key", F.shiftleft("end_cell", LOW_BITS) - 1).alias("end_key"),
-            (F.col("rest") - F.coalesce("fit.upto", "before")).alias("missing"),
-        )
-    )
-    last = cut(last)
-    later = by_source(rows, last).where("key > end_key AND size > 0 AND size <= missing")
-    later = later.groupBy("source", "key", "missing").agg(F.sum("size").alias("size")).where("size <= missing")
-    few = later.groupBy("source", "missing", F.floor(F.log2("size")), F.col("key") % 4).agg(F.min(F.struct("key", "size")).alias("x"))
-    large_first = F.array_sort(
-        F.collect_list(F.struct((-F.col("x.size")).alias("minus"), F.col("x.key").alias("key"))),
-    )
-    fill = F.aggregate(
-        "found",
-        F.struct(F.col("missing").alias("left"), F.array().cast("array<bigint>").alias("keys")),
-        lambda acc, x: F.when(
-            -x["minus"] <= acc["left"],
-            F.struct((acc["left"] + x["minus"]).alias("left"), F.concat(acc["keys"], F.array(x["key"])).alias("keys")),
-        ).otherwise(acc),
-        lambda acc: acc["keys"],
-    )
-    fills = few.groupBy("source", "missing").agg(large_first.alias("found")).select("source", F.explode(fill).alias("fill_key"))
-
     # a few rows a source, so texts need not be shuffled to meet them
-    ends, fills = broadcast_if_small(cut(by_source(targets, last, "left"))), broadcast_if_small(cut(fills))
+    ends = cut(_class_ends(rows, targets))
+    ends = ends.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("bits", "end_key"))).alias("ends"))
+    plan = targets.withColumnRenamed("source", "_source").join(ends, F.col("_source").eqNullSafe(F.col("source")), "left")
+    plan = broadcast_if_small(cut(plan.select("_source", F.struct("source_size", "target", "whole", "ends").alias("_plan"))))
     if columns is not None:
-        rows = docs.withColumn("key", sample_key(F.col("doc_id"), seed))
-    out = by_source(rows, ends.select("source", *(c for c in ends.columns if c not in rows.columns)))
-    out = by_source(out, fills, "left", F.col("key") == F.col("fill_key"))
-    extra = F.coalesce(F.col("key") <= F.col("end_key"), F.lit(False)) | F.col("fill_key").isNotNull()
-    times = F.least(F.col("whole") + extra.cast("int"), F.lit(int(epochs)))
+        rows = docs.withColumn("_key", key).withColumn("_bits", bits(size))
+    else:
+        rows = rows.withColumnsRenamed({"key": "_key", "bits": "_bits"})
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    extra = F.coalesce(F.col("_key") <= F.col("_plan.ends")[F.col("_bits")], F.lit(False))
+    times = F.least(F.col("_plan.whole") + extra.cast("int"), F.lit(int(epochs)))
     if columns is not None:
         return out.select(*columns, times.alias("taken_times"))
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", times.alias("taken_times"), (F.col("size") * times).alias("taken")
-    )
+    return out.select("doc_id", "source", "size", "_plan.source_size", "_plan.target", times.alias("taken_times"), (F.col("size") * times).alias("taken"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -148,15 +161,18 @@ c AS (SELECT *, sum(cap) OVER w + cap / weight * (sum(weight) OVER () - sum(weig
 t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * ((budget - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())
   / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()) END::DOUBLE AS target FROM c),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
-u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM d JOIN (SELECT source AS src, source_size, target, whole, target - whole * source_size AS rest FROM q) ON src IS NOT DISTINCT FROM source),
-m AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (WHERE upto <= rest), 0) AS missing FROM u GROUP BY source),
-l AS (SELECT u.source, key, missing, sum(size) AS size FROM u JOIN m ON m.source IS NOT DISTINCT FROM u.source WHERE upto > rest AND size > 0 GROUP BY ALL HAVING sum(size) <= missing),
-k AS (SELECT source, missing, min({'key': key, 'size': size}) AS x FROM l GROUP BY source, missing, floor(log2(size)), key % 4),
-o AS (SELECT source, x.key AS key, x.size AS size, row_number() OVER (PARTITION BY source ORDER BY x.size DESC, x.key) AS i FROM k),
-f AS (SELECT source, 0::BIGINT AS i, missing::DOUBLE AS rest, NULL::BIGINT AS key, false AS taken FROM m
-  UNION ALL SELECT f.source, o.i, CASE WHEN o.size <= f.rest THEN f.rest - o.size ELSE f.rest END, o.key, o.size <= f.rest FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i + 1)
+u AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits, sum(size) OVER (PARTITION BY source, size > 0, length(bin(size)) ORDER BY key)::BIGINT AS upto,
+    rest * sum(size) OVER (PARTITION BY source, size > 0, length(bin(size))) / source_size AS quota
+  FROM d JOIN (SELECT source AS src, source_size, target, whole, target - whole * source_size AS rest FROM q) ON src IS NOT DISTINCT FROM source),
+m AS (SELECT DISTINCT source, bits, quota, upto FROM u WHERE bits > 0 UNION SELECT DISTINCT source, bits, quota, 0 FROM u WHERE bits > 0),
+n AS (SELECT * FROM m QUALIFY abs(upto - quota) <= 4 * (1::BIGINT << bits) OR upto = max(upto) FILTER (WHERE upto <= quota) OVER (PARTITION BY source, bits)),
+k AS (SELECT source, bits, quota, list(upto) AS ends, row_number() OVER (PARTITION BY source ORDER BY bits DESC) AS i FROM n GROUP BY source, bits, quota),
+f AS (SELECT DISTINCT source, 0::BIGINT AS i, 0::BIGINT AS bits, 0::DOUBLE AS want, 0::BIGINT AS fit FROM k
+  UNION ALL SELECT k.source, k.i, k.bits, f.want - f.fit + k.quota,
+    list_aggregate(list_transform(k.ends, lambda e: {'off': abs(e - (f.want - f.fit + k.quota)), 'upto': e}), 'min').upto
+  FROM f JOIN k ON k.source IS NOT DISTINCT FROM f.source AND k.i = f.i + 1)
 SELECT u.doc_id, u.source, u.size, u.source_size, round(u.target, 6) AS target,
-  least(2, u.whole + CASE WHEN u.upto <= u.rest OR f.taken THEN 1 ELSE 0 END)::INTEGER AS taken_times,
-  (u.size * least(2, u.whole + CASE WHEN u.upto <= u.rest OR f.taken THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM u LEFT JOIN f ON f.taken AND f.key = u.key AND f.source IS NOT DISTINCT FROM u.source
+  least(2, u.whole + CASE WHEN u.upto <= f.fit THEN 1 ELSE 0 END)::INTEGER AS taken_times,
+  (u.size * least(2, u.whole + CASE WHEN u.upto <= f.fit THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM u LEFT JOIN f ON f.bits = u.bits AND f.bits > 0 AND f.source IS NOT DISTINCT FROM u.source
 """

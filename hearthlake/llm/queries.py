@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from hearthlake.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, substring_dedup, url_filter, warc
+from hearthlake.llm import chat, decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, substring_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_warc": warc.op2_warc,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_chat": chat.op4_chat,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,

@@ -225,9 +225,8 @@ def stream_dedup(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_anomaly(spark, sf_dir: str) -> DataFrame:
-    rows = normal(spark, sf_dir)
-    sigma = stats.robust_sigma(rows, ["metric_key"]).join(rows.groupBy("metric_key").agg(stats.median("value").alias("centre")), "metric_key")
-    return live.run_once(live.anomaly_alarms(live.events_stream(spark, sf_dir), sigma.toPandas()), live.warehouse(spark))  # a row a metric
+    rows = live.with_baseline(live.events_stream(spark, sf_dir), normal(spark, sf_dir))
+    return live.run_once(live.anomaly_alarms(rows), live.warehouse(spark))
 
 
 @query()

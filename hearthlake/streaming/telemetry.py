@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hearthlake.functions.times import instant
+from hearthlake.functions.times import instant, minute_of_day, weekday
+from hearthlake.operators import stats
 from hearthlake.operators.kernels import theil_sen
 from hearthlake.plans.templates import SENSITIVITY
 
@@ -62,23 +63,49 @@ def routed(rows: DataFrame, registrations: DataFrame) -> DataFrame:
     return rows.join(registrations, ["device_id", "metric_key"])
 
 
-def anomaly_alarms(rows: DataFrame, profiles: pd.DataFrame, sensitivity: int = 3, cooldown_minutes: float = 10) -> DataFrame:
+def anomaly_baseline(history: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
+    """(keys, day_type, slot, centre, sigma) of series with ``least`` values or more: seasonal
+    profile plus the median residual, and the robust sigma of the residuals."""
+    history = history.where("value IS NOT NULL")
+    history = history.join(history.groupBy(*keys).count().where(F.col("count") >= least).select(*keys), keys, "left_semi")
+    profile = stats.seasonal_profile(history, keys)
+    rows = slotted(history).join(profile, [*keys, "day_type", "slot"]).withColumn("_r", F.col("value") - F.col("profile"))
+    offset = rows.groupBy(*keys).agg(stats.median("_r").alias("_o"))
+    out = profile.join(offset, keys).join(stats.robust_sigma(rows, keys, "_r"), keys)
+    return out.select(*keys, "day_type", "slot", (F.col("profile") + F.col("_o")).alias("centre"), "sigma")
+
+
+def slotted(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"slot": F.floor(minute_of_day(F.col("time"), stats.ZONE) / 60).cast("int"), "day_type": (weekday(F.col("time"), stats.ZONE) >= 5).cast("int")})
+
+
+def with_baseline(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """``rows`` (a stream) with centre and sigma of their device and metric at that time of
+    day; series of fewer than 30 values in ``history`` take their metric's."""
+    own = anomaly_baseline(history, ["device_id", "metric_key"])
+    metric = anomaly_baseline(history, ["metric_key"]).withColumnsRenamed({"centre": "_centre", "sigma": "_sigma"})
+    rows = slotted(rows).join(own, ["device_id", "metric_key", "day_type", "slot"], "left").join(metric, ["metric_key", "day_type", "slot"], "left")
+    return rows.select("device_id", "metric_key", "time", "value", F.coalesce("centre", "_centre").alias("centre"), F.coalesce("sigma", "_sigma").alias("sigma"))
+
+
+def anomaly_alarms(rows: DataFrame, profiles: pd.DataFrame | None = None, sensitivity: int = 3, cooldown_minutes: float = 10) -> DataFrame:
     """Alarms of readings whose |z| is over the threshold: LEVEL_SHIFT from the sixth in a row, else SPIKE
     or DROP; within the cooldown only if half as strong again as the last.
 
-    ``profiles``: metric_key, centre and sigma, one row a metric. State: run length,
+    ``profiles``: metric_key, centre and sigma, one row a metric; without, the rows have
+    columns centre and sigma (``with_baseline``). State: run length,
     time and strength of the last alarm, of each device and metric.
     """
-    base = {r.metric_key: (r.centre, max(r.sigma, 1e-9)) for r in profiles.itertuples()}
+    base = None if profiles is None else {r.metric_key: (r.centre, max(r.sigma, 1e-9)) for r in profiles.itertuples()}
     limit = SENSITIVITY[sensitivity]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, last, strength = state.get if state.exists else (0, None, 0.0)
         out = []
         for row in pd.concat(list(frames)).sort_values("time").itertuples():
-            centre, sigma = base.get(key[1], (0.0, np.inf))
+            centre, sigma = (row.centre, max(row.sigma, 1e-9)) if base is None else base.get(key[1], (0.0, np.inf))
             z = (row.value - centre) / sigma
-            if abs(z) <= limit:
+            if not abs(z) > limit:
                 run = 0
                 continue
             run += 1
@@ -97,11 +124,12 @@ def anomaly_alarms(rows: DataFrame, profiles: pd.DataFrame, sensitivity: int = 3
 
 
 def eta_alarms(rows: DataFrame, threshold: float, up: bool = True, window_minutes: float = 30, horizon_minutes: float = 240) -> DataFrame:
-    """Minutes until each series' trend over the last minutes meets a threshold, when that figure changes."""
+    """Minutes until each series' trend over the last minutes meets a threshold, when that
+    figure or its confidence changes, or when the trend was unpredictable in between."""
     sign = 1 if up else -1
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values, said = state.get if state.exists else ([], [], None)
+        times, values, said, sure = state.get if state.exists else ([], [], None, None)
         times, values, out = list(times), list(values), []
         for row in pd.concat(list(frames)).sort_values("time").itertuples():
             at = row.time.value / 6e10
@@ -109,20 +137,27 @@ def eta_alarms(rows: DataFrame, threshold: float, up: bool = True, window_minute
             first = next(i for i, t in enumerate(times) if t > at - window_minutes)
             times, values = times[first:], values[first:]
             if len(times) < 3 or times[-1] - times[0] < 10:
+                said = None
                 continue
-            slope, level, _, _ = theil_sen(np.array(times) - at, np.array(values))
+            x, y = np.array(times) - at, np.array(values)
+            slope, level, _, _ = theil_sen(x, y)
             gap = threshold - level
-            if not np.isfinite(slope) or (sign * gap > 0 and sign * slope <= 0):
+            if not abs(slope) >= 1e-12 or (sign * gap > 0 and sign * slope <= 0):
+                said = None
                 continue
-            left = 0 if sign * gap <= 0 else round(gap / slope)
-            if left <= horizon_minutes and left != said:
-                said = int(left)
-                out.append((key[0], key[1], row.time, said))
-        state.update((times, values, said))
-        yield pd.DataFrame(out, columns=["device_id", "metric_key", "time", "minutes_left"])
+            rest = y - (level + slope * x)
+            step_minutes = float(np.median(np.diff(x)))
+            noise = stats.MAD * float(np.median(np.abs(rest - np.median(rest)))) / (abs(slope) * step_minutes) if step_minutes else np.inf
+            confidence = "HIGH" if noise < 0.5 else "MEDIUM" if noise < 1.5 else "LOW"
+            left = 0.0 if sign * gap <= 0 else gap / slope
+            if left <= horizon_minutes and (round(left), confidence) != (said, sure):
+                said, sure = int(round(left)), confidence
+                out.append((key[0], key[1], row.time, said, sure))
+        state.update((times, values, said, sure))
+        yield pd.DataFrame(out, columns=["device_id", "metric_key", "time", "minutes_left", "confidence"])
 
     return rows.groupBy("device_id", "metric_key").applyInPandasWithState(
-        step, "device_id long, metric_key string, time timestamp, minutes_left int", "times array<double>, values array<double>, said int", "append", GroupStateTimeout.NoTimeout
+        step, "device_id long, metric_key string, time timestamp, minutes_left int, confidence string", "times array<double>, values array<double>, said int, sure string", "append", GroupStateTimeout.NoTimeout
     )
 
 

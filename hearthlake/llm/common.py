@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word separators of most operators, as Java regular expression classes.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -59,34 +60,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a few numbers (tens of MB) up to which a side may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side may be broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row apart from its values, about.
+ROW_BYTES = 16
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, which is cheap to count (cut), to be broadcast if it has at most ``rows``
-    rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(kind: T.DataType, value: Column) -> Column | int:
+    """Bytes of a value, about; a number where they are the same for all rows."""
+    if isinstance(kind, T.StructType):
+        fields = [_bytes(f.dataType, value[f.name]) for f in kind]
+        return sum((x for x in fields if not isinstance(x, int)), ROW_BYTES + sum(x for x in fields if isinstance(x, int)))
+    if isinstance(kind, T.ArrayType):
+        each = _bytes(kind.elementType, F.lit(None).cast(kind.elementType))
+        return F.coalesce(F.size(value), F.lit(0)).cast("long") * (each if isinstance(each, int) else 64)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    return 8
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, which is cheap to read (cut), to be broadcast if it has at most ``most``
+    bytes; a larger one is joined by shuffle, with the same rows."""
+    sizes = [_bytes(f.dataType, F.col(f.name)) for f in df.schema]
+    fixed = ROW_BYTES + sum(x for x in sizes if isinstance(x, int))
+    total = F.count("*") * fixed
+    for x in sizes:
+        total = total if isinstance(x, int) else total + F.coalesce(F.sum(x), F.lit(0))
+    return F.broadcast(df) if df.agg(total).first()[0] <= most else df
 
 
 class Scratch:
     """Parquet tables in the shared folder that an operator needs while it runs.
 
     Columnar and compressed, so a wide intermediate takes a fraction of what a
-    checkpoint of it would. ``close`` deletes them; what is returned must be cut
-    before.
+    checkpoint of it would. They are deleted at the end of the ``with`` block,
+    whether the operator succeeds or not; what is returned must be cut before.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.count = spark, 0
         self.folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def table(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.folder}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def close(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,45 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm import kernels as K
 from hearthlake.llm.common import cut
 
+#: Edges that a task contracts at a time.
+EDGES = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (v, u), u < v, that connect the same nodes: each node of the task's edges hangs on the
+    least that it is connected with there. A task holds its edges EDGES at a time beside
+    what they were contracted to."""
+    v = u = np.empty(0, np.int64)
+    held, size = [], 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        node, root = K.roots(*(np.concatenate([x, *(h[k] for h in held)]) for k, x in enumerate((v, u))))
+        return node[node != root], root[node != root]
+
+    for batch in batches:
+        held.append([batch.column(k).to_numpy() for k in range(2)])
+        size += batch.num_rows
+        if size >= max(EDGES, len(v)):
+            (v, u), held, size = flush(), [], 0
+    v, u = flush()
+    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b", key: str = "node") -> DataFrame:
     """(``key``, component) of every node of ``links``; component is its least node.
 
-    Alternates the large-star and small-star rewriting of the edge list, which
-    ends with one star around the least node of each component after about as
-    many rounds as the logarithm of the longest path. Each round is two
-    aggregations with partial sums and two equi-joins, so a hub with a third of
-    all edges is never gathered in a task (adaptive execution splits the joins'
-    skewed partitions), and is cut by a checkpoint. Null nodes, self links and
-    repeated links are ignored; no links give no rows.
+    1. Each task replaces its edges by stars around the least node that they
+       connect; then edges are dealt by their larger end and contracted again,
+       until no node has two smaller ones. A hub with a third of all edges is the
+       smaller end of most and so is never gathered in a task, and where it is the
+       larger end, each task's star has sent it one edge only.
+    2. What is left is a forest; each round halves a node's way to its root by a
+       join of the nodes with their parents (adaptive execution splits a hub).
+
+    Rounds are about the logarithm of the longest path; each is cut by a
+    checkpoint. Null nodes and self links are ignored; no links give no rows.
     """
-    edges = cut(
-        links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
+    edges = (
+        links.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("u"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
     )
-    before = None
+    kind = "v long, u long"
+    state = F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
+    edges, before = edges.mapInArrow(_contract, kind), None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        edges = cut(edges.repartition("v").mapInArrow(_contract, kind))
+        now = edges.agg(*state).first()
         if now == before or not now[0]:
-            return edges.select(F.col("v").alias(key), F.col("u").alias("component")).union(
-                edges.select("u", "u").distinct()
-            )
+            break
+        before = now
+    while now[0]:
+        up = edges.select(F.col("v").alias("_v"), F.col("u").alias("_u"))
+        edges = cut(edges.join(up, edges["u"] == up["_v"], "left").select("v", F.coalesce("_u", "u").alias("u")))
+        if (now := edges.agg(*state).first()) == before:
+            break
         before = now
-        both = edges.union(edges.select("u", "v")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        # large star: the larger neighbours of x go to the least of x and its neighbours
-        large = (
-            both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
-        )
-        # small star: x and its smaller neighbours go to the least of these
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v")
-        edges = cut(
-            small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m")).where("v != u").distinct()
-        )
+    leaf = edges.select(F.col("v").alias(key), F.col("u").alias("component"))
+    return leaf.union(edges.select("u", "u").distinct())

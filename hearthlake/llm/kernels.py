@@ -154,3 +154,57 @@ def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     values = pa.array(values.view(np.int64) if values.dtype == U else values, kind)
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes: the first, which rises (unsigned), as steps from its least; of each
+    the bytes of a rank together, as far as the largest value reaches, so that what is small or
+    alike compresses well."""
+    base = columns[0][:1].astype(np.int64)
+    out = [np.array([len(columns[0]), *base], np.int64).tobytes()] if len(base) else [b""]
+    for k, x in enumerate(columns if len(base) else ()):
+        x = np.ascontiguousarray(x, np.int64).view(U)
+        if k == 0:
+            x = np.diff(x, prepend=x[:1])
+        width = (int(x.max()).bit_length() + 7) // 8
+        out += [bytes([width]), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The columns of ``pack``, as int64."""
+    (n, base), at, out = np.frombuffer(data, np.int64, 2), 16, []
+    while at < len(data):
+        width, at = data[at], at + 1
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T
+        at += width * int(n)
+        out.append(x.view(U).reshape(-1))
+    out[0] = np.cumsum(out[0]) + base.astype(np.int64).view(U)
+    return [x.view(np.int64) for x in out]
+
+
+def same_as_before(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: which differ from the row before, and for each row the first that equals it."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it hangs together with) for the nodes of edges (a, b)."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(node))
+    while True:
+        low = np.minimum(up[x], up[y])
+        before = up.copy()
+        for end in (x, y):
+            np.minimum.at(up, up[end], low)
+            np.minimum.at(up, end, low)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        if np.array_equal(up, before):
+            return node, node[up]

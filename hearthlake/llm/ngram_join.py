@@ -16,9 +16,15 @@ from hearthlake.llm.components import components
 
 #: Members of a group that a query opens first, and by how much later rounds grow.
 FIRST_MEMBERS, GROWTH = 4, 16
-#: Documents of a column from which on rare tokens, not the column, say which of them are compared.
-CROWD = 16
 SEEDS = 8
+#: Column entries that a task gathers before it sends them, and buckets that they are dealt to for each partition of the shuffle.
+GATHERED, BUCKETS = 1 << 20, 8
+#: One token in so many goes to the matrix beside the prefix, so that a query must meet a group in more than one.
+SPARE = 8
+
+CELL = "sig long, doc long, n int, blocks int, lead long, lead_n int"
+#: Entries of a packed row at most, of those that may go anywhere.
+PIECE = 4096
 
 
 @lru_cache
@@ -95,40 +101,131 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, n
         yield lo, hi, tokens, first
 
 
-def matrix(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cells of the matrix: one for each token block of each document (aux: its blocks), and one
-    for each document (aux < 0) in which sig and aux hash its whole set."""
+def matrix(size: int, percent: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The matrix, packed, in rows (bucket, kind, data) that are to be brought together by bucket.
+
+    kind 0: documents that need no one else: lead (a document of the task with an equal set, or
+    itself), doc, n, and 1 for a null id; 1: two hashes, doc and n of each other set; 2: entries of
+    columns that two documents of the task share, with the column's least document there; 3: the
+    entry of that one only. So a set or block that a third of all documents have is one entry a
+    task where columns meet.
+    """
+
+    def rows(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+        """bucket: rises, as the first column does."""
+        at = np.flatnonzero(K.same_as_before(bucket)[0])
+        for i, j in zip(at, np.append(at[1:], len(bucket)), strict=True):
+            yield int(bucket[i]), kind, K.pack(*(x[i:j] for x in columns))
+
+    def anywhere(kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+        order = np.argsort(columns[0].view(K.U), kind="stable")
+        for i in range(0, len(order), PIECE):
+            piece = [x[order[i : i + PIECE]] for x in columns]
+            yield int(_bucket(K.mix(piece[1][:1].view(K.U)), buckets)[0]), kind, K.pack(*piece)
+
+    def batch_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int8(), pa.binary()))], ["bucket", "kind", "data"])
+
+    def send(cells: list[np.ndarray], sets: list[np.ndarray], alone: list[np.ndarray]) -> pa.RecordBatch:
+        found = list(anywhere(0, alone))
+        order = np.lexsort((sets[1], sets[0].view(K.U)))
+        sets = [x[order] for x in sets]
+        found += rows(1, _bucket(sets[0].view(K.U), buckets), sets)
+        order = np.lexsort((cells[1], cells[0].view(K.U)))
+        sig, doc, n, have = (x[order] for x in cells)
+        start, lead = K.same_as_before(sig)
+        other = doc != doc[lead]
+        shared = np.zeros(len(sig), np.int64)
+        shared[lead[other]] = 1
+        found += anywhere(2, [sig[other], doc[other], n[other], have[other], doc[lead[other]], n[lead[other]]])
+        found += rows(3, _bucket(sig[start].view(K.U), buckets), [sig[start], doc[start], n[start], 2 * have[start] + shared[start]])
+        return batch_of(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
+        held: list[list[list[np.ndarray]]] = [[], [], []]
+        gathered = 0
         for batch in batches:
             for lo, hi, tokens, first in _sets(batch.column(1), size):
-                n, some = np.diff(first), first[:-1] < first[1:]
+                n = np.diff(first)
                 ids = batch.column(0).slice(lo, hi - lo)
                 named = ids.is_valid().to_numpy(zero_copy_only=False)
-                whole = np.zeros((2, hi - lo), K.U)
+                doc = ids.fill_null(0).to_numpy().astype(np.int64)
+                whole, some = np.zeros((2, hi - lo), K.U), n > 0
                 for k in range(2):
                     if len(tokens):
                         whole[k][some] = np.add.reduceat(K.mix(tokens ^ K._STEP[k]), first[:-1][some])
                     whole[k] = K.mix(whole[k] + n.astype(K.U) * K._STEP[2 + k])
-                # what has no tokens or no id is equal to nothing
-                alone = K.mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(K.U) ^ K._STEP[1])
-                whole[0] = np.where(some & named, whole[0], alone)
+                lead, new = doc.copy(), np.zeros(hi - lo, bool)
+                for r in np.flatnonzero(some & named):
+                    before = len(seen)
+                    lead[r] = seen.setdefault((int(whole[0][r]), int(whole[1][r])), int(doc[r]))
+                    new[r] = len(seen) > before
+                held[2].append([x[~new] for x in (lead, doc, n, (~named).astype(np.int64))])
+                held[1].append([x[new] for x in (*whole.view(np.int64), doc, n)])
                 row, sig, have = blocks(tokens, first, percent)
-                keep = named[row]
-                row, sig, have = np.append(np.arange(hi - lo), row[keep]), sig[keep], have[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.append(whole[0], sig).view(np.int64)),
-                        pa.array(np.append((whole[1] | K.U(1 << 63)).view(np.int64), have)),
-                        ids.take(pa.array(row)),
-                        pa.array(n[row].astype(np.int32)),
-                    ],
-                    ["sig", "aux", "doc", "n"],
-                )
+                keep = new[row]
+                row = row[keep]
+                held[0].append([sig[keep].view(np.int64), doc[row], n[row], have[keep]])
+                gathered += len(row) + hi - lo
+                if gathered >= GATHERED:
+                    yield send(*([np.concatenate(x) for x in zip(*parts, strict=True)] for parts in held))
+                    held, gathered = [[], [], []], 0
+        if gathered:
+            yield send(*([np.concatenate(x) for x in zip(*parts, strict=True)] for parts in held))
 
     return run
 
 
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; it rises with the hash."""
+    return (((x >> K.U(32)) * K.U(buckets)) >> K.U(32)).astype(np.int64)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows that come by bucket and kind: each document (sig null) with the least of its set, and the
+    entries of columns that several documents share with the least document of the column."""
+
+    def cells(sig: np.ndarray | None, doc: np.ndarray, n: np.ndarray, have: np.ndarray, lead: np.ndarray, lead_n: np.ndarray, unnamed: np.ndarray | None = None) -> pa.RecordBatch:
+        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()
+        columns = [pa.nulls(len(doc), pa.int64()) if sig is None else pa.array(sig)]
+        columns += [pa.array(x.astype(t.to_pandas_dtype()), t, mask=unnamed if k in (0, 3) else None) for k, (x, t) in enumerate(zip((doc, n, have, lead, lead_n), kinds[1:], strict=True))]
+        return pa.RecordBatch.from_arrays(columns, ["sig", "doc", "n", "blocks", "lead", "lead_n"])
+
+    def together(kind: int, parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if kind == 1:
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            a, b, doc, n = (x[order] for x in columns)
+            lead = doc[K.same_as_before(a, b)[1]]
+            yield cells(None, doc, n, np.zeros_like(n), lead, n)
+        else:
+            order = np.lexsort((columns[1], columns[0]))
+            sig, doc, n, have = (x[order] for x in columns)
+            start, lead = K.same_as_before(sig)
+            at = np.flatnonzero(start)
+            several = np.maximum.reduceat((doc != doc[lead]) | (have & 1 > 0), at)[np.cumsum(start) - 1]
+            yield cells(sig[several], doc[several], n[several], have[several] >> 1, doc[lead][several], n[lead][several])
+
+    now, parts = None, []
+    for batch in batches:
+        for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind in (0, 2):
+                x = K.unpack(data)
+                if kind == 0:
+                    yield cells(None, x[1], x[2], np.zeros_like(x[2]), x[0], x[2], x[3] > 0)
+                else:
+                    yield cells(*x)
+                continue
+            if now != (bucket, kind):
+                yield from together(now and now[1], parts)
+                now, parts = (bucket, kind), []
+            parts.append(K.unpack(data))
+    yield from together(now and now[1], parts)
+
+
 def token_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,75 +276,58 @@ def _alike(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     wanted = broadcast_if_small(cut(others.union(leads)))
     rows = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("a", "salt", "rank", "doc", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "rank")
-    return cut(rows.mapInArrow(compare(size, percent), "a long, b long").distinct())
+    return cut(rows.mapInArrow(compare(size, percent), "a long, b long"))
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
 
 
-def _overlap(n: Column, m: Column, percent: int) -> Column:
-    """Tokens that sets of n and m must share at least."""
-    return F.ceil(percent * (n + m).cast("long") / (100 + percent))
-
-
-def _few_queries(few: DataFrame, percent: int) -> DataFrame:
-    """(doc, group, members) of columns of few documents: the group's union must have enough of the document's blocks."""
-    by = ["sig", F.col("component").alias("group")]
-    union = few.groupBy(*by).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-    unlike = F.floor((100 - percent) * (F.col("n") + F.least("most", F.floor(F.col("n") * 100 / percent))) / (100 + percent))
-    return (
-        few.join(union, "sig")
-        .where("component <> group")
-        .groupBy("doc", "n", "blocks", "group")
-        .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("members").alias("members"))
-        .where(F.col("common") >= F.col("blocks") - unlike)
-        .where((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-        .select("doc", "group", "members")
-    )
-
-
-def _hopeful(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` of documents whose columns shared with anyone are as many as they must share with one, in columns of several groups."""
-    unlike = F.floor((100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / (100 + percent))
-    have = F.count("*").over(Window.partitionBy("doc", "n", "blocks"))
-    rows = rows.withColumn("have", have).where(F.col("have") >= F.col("blocks") - unlike).drop("have")
-    column = Window.partitionBy("sig")
-    return rows.withColumns({"lo": F.min("component").over(column), "hi": F.max("component").over(column)}).where("lo <> hi").drop("lo", "hi")
+def _unlike(percent: int) -> Column:
+    """Tokens at most in which a set of n and one like it differ."""
+    return F.floor((100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / (100 + percent))
 
 
 def _tokens(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
     """(row, doc, via): the tokens of each row of ``texts`` whose document is in ``crowd``."""
-    rows = texts.join(broadcast_if_small(crowd.select("doc").distinct()), F.col("doc_id") == F.col("doc")).select("doc", "text")
+    rows = texts.join(broadcast_if_small(crowd.select("doc")), F.col("doc_id") == F.col("doc")).select("doc", "text")
     rows = rows.mapInArrow(token_sets(size), "doc long, tokens array<long>").withColumn("row", F.monotonically_increasing_id())
     return rows.select("row", "doc", F.explode("tokens").alias("via"))
 
 
-def _prefixes(tokens: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
-    """(via, doc, n, cap, component): the rarest tokens of each document of crowded columns, rare by how
-    many of these documents have them; cap: tokens from this one on.
+def _spare(n: Column) -> Column:
+    return F.floor(n / SPARE)
+
 
-    If two sets are alike, their first common token in this order leaves both at
-    least the overlap that they need, so it is among the rows here.
+def _prefixes(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(via, doc, n, component): of each document that has enough tokens in common with other groups
+    the rarest tokens, rare by how many documents have them.
+
+    Of two sets that are alike, each has all but the last ceil(p % of its size) - 1
+    tokens of this order and spare(n) more here, so they meet here in 1 + spare(the
+    smaller n) tokens at least. Tokens of one group only meet no other, and are left out.
     """
-    counts = tokens.groupBy("via").agg(F.count("*").alias("docs"))
+    with_group = tokens.join(groups, "doc")
+    counts = with_group.groupBy("via").agg(F.count("*").alias("docs"), (F.min("component") != F.max("component")).alias("common"))
     of_row = Window.partitionBy("row")
-    rows = tokens.join(counts, "via").withColumns({"rank": F.row_number().over(of_row.orderBy("docs", "via")) - 1, "n": F.count("*").over(of_row).cast("int")})
-    rows = rows.where(F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n").cast("long") / 100))
-    group = broadcast_if_small(cut(crowd.select("doc", "component").distinct()))
-    return rows.join(group, "doc").select("via", "doc", "n", (F.col("n") - F.col("rank")).cast("int").alias("cap"), "component")
+    rows = with_group.join(counts, "via").withColumns({
+        "rank": F.row_number().over(of_row.orderBy("docs", "via")) - 1, "n": F.count("*").over(of_row).cast("int"), "in_common": F.count_if("common").over(of_row),
+    })
+    need = F.ceil(percent * F.col("n").cast("long") / 100)
+    return rows.where(F.col("common") & (F.col("in_common") >= need) & (F.col("rank") <= F.col("n") - need + _spare(F.col("n")))).select("via", "doc", "n", "component")
 
 
-def _crowd_queries(prefix: DataFrame, percent: int) -> DataFrame:
-    """(doc, group, members): what a document and the union of a group's prefixes have from a common token
-    on must reach the overlap that the group's smallest set needs."""
-    union = prefix.groupBy("via", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("cap").alias("most_cap"), F.count("*").alias("members"))
+def _queries(prefix: DataFrame, percent: int) -> DataFrame:
+    """(doc, group) where the document's overlap with the group's token union is not below the bound."""
+    union = prefix.groupBy("via", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    needed = F.least(_spare(F.col("n")), _spare(F.greatest("least", F.ceil(percent * F.col("n").cast("long") / 100)))) + 1
     return (
         prefix.join(union, "via")
-        .where(F.col("component") != F.col("group"))
-        .where((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-        .where(F.least("cap", "most_cap") >= _overlap(F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / 100)), percent))
-        .groupBy("doc", "group").agg(F.max("members").alias("members"))
+        .where((F.col("component") != F.col("group")) & (100 * F.col("n").cast("long") >= percent * F.col("least")) & (100 * F.col("most").cast("long") >= percent * F.col("n")))
+        .groupBy("doc", "n", "group").agg(F.count("*").alias("overlap"), F.min("least").alias("least"))
+        .where(F.col("overlap") >= needed)
+        .select("doc", "group")
+        .distinct()
     )
 
 
@@ -260,88 +340,77 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     empty set, linked with nothing. Two documents are linked when their sets'
     Jaccard similarity is ``percent`` % or more; component_id is the least
     doc_id that links lead to. No link is missed but by a collision of 64-bit
-    hashes of shingles, and no step has a cap.
-
-    The columns of the token-group matrix are token blocks (see ``blocks``): a
-    cell costs less than one for each token, and words or passages that many
-    documents share do not fill one, since a block is equal only where all its
-    tokens are.
-
-    1. One pass over the texts writes the matrix, one shuffle brings equal
-       columns together; what no second document has is dropped. Documents of
-       the same set are one from here on.
-    2. Each column's documents are compared with its first document, so that a
-       group of near copies of any size costs a comparison for each. What is
-       alike makes groups: the components of these links.
-    3. Where a column still holds several groups, each of its documents queries
-       the others: the columns that it shares with the union of a group's
-       columns bound the overlap with any member. In columns of more than CROWD
-       documents the matrix of these documents' rarest tokens takes the columns'
-       place, so that thousands of copies that differ do not meet in pairs. Only
-       groups that pass are opened, some members of each at first, then more
-       until none is left.
+    hashes of shingles, and no step has a cap. Other columns of ``docs`` are not read.
+
+    1. Groups. Similar documents meet in columns of token blocks (see ``blocks``):
+       each task sends the columns of its different sets, packed, and of a column
+       that several of its documents share one entry; one shuffle brings columns
+       together. Each column's documents are compared with its first one, so
+       that a group of near copies of any size costs a comparison for each; the
+       components of these links and of equal sets are the groups.
+    2. The token-group matrix. Documents that may still have a partner in another
+       group (their columns with several groups are as many as a partner must
+       share) query the groups' token unions: over the rarest tokens of each, the
+       overlap with a group's union bounds that with any member.
+    3. Only groups that reach the bound are opened, some members at first, then
+       more until none is left; a query that has joined the group stops.
 
     Comparisons intersect whole token sets. Rows that share a doc_id are one
     node; a null doc_id is linked with nothing and has no component_id.
     """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    by_doc = Window.partitionBy("sig").orderBy("doc")
-    lead = F.first(F.struct("doc", "n", "aux")).over(by_doc)
-    cells = (
-        texts.mapInArrow(matrix(size, percent), "sig long, aux long, doc long, n int")
-        .withColumns({"lead": lead, "more": F.lead("sig").over(by_doc).isNotNull() | F.lag("sig").over(by_doc).isNotNull()})
-        .where("more OR aux < 0")
-        .select("sig", "aux", "doc", "n", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.aux").alias("lead_aux"))
-    )
-    cells = scratch.table(cells)
-    same = cut(cells.where("aux < 0 AND n > 0 AND doc <> lead AND aux = lead_aux").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
-    copies = broadcast_if_small(same.select(F.col("b").alias("doc")).distinct())
-    shared = cells.where("aux >= 0").join(copies, "doc", "left_anti")
-    pairs = shared.where((F.col("doc") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent))
-    pairs = cut(pairs.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
-    links = same.union(_alike(texts, pairs, size, percent))
-    groups = cut(components(links))
-
-    def grouped(rows: DataFrame, groups: DataFrame, key: str = "doc", name: str = "component") -> DataFrame:
-        groups = broadcast_if_small(groups.select(F.col("node").alias(key), F.col("component").alias(name)))
-        return rows.join(groups, key, "left").withColumn(name, F.coalesce(name, key))
-
-    rows = grouped(grouped(shared, groups), groups, "lead", "lead_component")
-    several = cut(rows.where("component <> lead_component").select("sig").distinct())
-    if not several.isEmpty():
-        rows = rows.select("sig", "doc", "n", F.col("aux").alias("blocks"), "component")
-        rows = scratch.table(_hopeful(rows.join(broadcast_if_small(several), "sig", "left_semi"), percent))
-        crowded = broadcast_if_small(cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where(f"k > {CROWD}").select("sig")))
-        few = rows.join(crowded, "sig", "left_anti")
-        crowd = cut(rows.join(crowded, "sig", "left_semi").select("doc", "n", "component").distinct())
-        tokens = scratch.table(_tokens(texts, crowd, size))
-        prefix = scratch.table(_prefixes(tokens, crowd, percent))
-        asked = cut(_few_queries(few, percent).union(_crowd_queries(prefix, percent)).groupBy("doc", "group").agg(F.max("members").alias("members")))
-        cells_of = few.select(F.col("sig").alias("via"), "doc", "n", F.lit(1 << 30).alias("cap"), "component").union(prefix)
-        cells_of = scratch.table(cells_of.withColumn("place", F.row_number().over(Window.partitionBy("via", "component").orderBy(F.xxhash64("doc"), "doc"))))
-        most = asked.agg(F.max("members")).first()[0] or 0
-        opened, upto = 0, FIRST_MEMBERS
-        while opened < most:
-            now = grouped(asked.where(F.col("members") > opened), groups, "doc", "own")
-            now = grouped(now, groups, "group", "other").where("own <> other").select("doc", "group")
-            member = cells_of.where(f"place > {opened} AND place <= {upto}")
-            member = member.select("via", F.col("component").alias("group"), F.col("doc").alias("with"), F.col("n").alias("m"), F.col("cap").alias("with_cap"))
-            found = (
-                cells_of.select("via", "doc", "n", "cap").join(broadcast_if_small(cut(now)), "doc").join(member, ["via", "group"])
-                .where(_sizes_fit(F.col("n"), F.col("m"), percent) & (F.least("cap", "with_cap") >= _overlap(F.col("n"), F.col("m"), percent)))
-                .select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b"))
-                .distinct()
-                .join(pairs, ["a", "b"], "left_anti")
-            )
-            links = links.union(_alike(texts, cut(found), size, percent))
-            opened, upto = upto, upto * GROWTH
-            groups = cut(components(links))
-
-    every = cells.where("aux < 0").select("doc", F.col("n").cast("long").alias("n_shingles"))
-    out = cut(grouped(every, groups).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")))
-    scratch.close()
-    return out
+    spark, texts = docs.sparkSession, docs.select("doc_id", "text")
+    with Scratch(spark) as scratch:
+        buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = texts.mapInArrow(matrix(size, percent, buckets), "bucket int, kind byte, data binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
+        cells = scratch.table(cells.mapInArrow(met, CELL))
+        sets, columns = cells.where("sig IS NULL"), cells.where("sig IS NOT NULL")
+        same = sets.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+        # a document whose every set has an equal one of a smaller id has nothing of its own to compare
+        copies = sets.where("n > 0").groupBy("doc").agg(F.bool_and(F.col("doc") != F.col("lead")).alias("all")).where("all").select("doc")
+        copies = broadcast_if_small(cut(copies))
+        columns = columns.join(copies, "doc", "left_anti")
+        pairs = columns.where((F.col("doc") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent))
+        pairs = cut(pairs.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+        groups = cut(components(same.union(_alike(texts, pairs, size, percent))))
+
+        def grouped(rows: DataFrame, groups: DataFrame, key: str, name: str) -> DataFrame:
+            groups = broadcast_if_small(groups.select(F.col("node").alias(key), F.col("component").alias(name)))
+            return rows.join(groups, key, "left").withColumn(name, F.coalesce(name, key))
+
+        several = grouped(grouped(columns, groups, "doc", "component"), groups, "lead", "lead_component")
+        several = broadcast_if_small(cut(several.where("component <> lead_component").select("sig").distinct()))
+        hopeful = columns.join(several, "sig", "left_semi").groupBy("doc", "n", "blocks").agg(F.count("*").alias("have"))
+        hopeful = cut(hopeful.where(F.col("have") >= F.col("blocks") - _unlike(percent)).select("doc").distinct())
+        if not hopeful.isEmpty():
+            crowd = broadcast_if_small(cut(grouped(hopeful, groups, "doc", "component")))
+            prefix = scratch.table(_prefixes(scratch.table(_tokens(texts, crowd, size)), crowd, percent))
+            asked = cut(_queries(prefix, percent))
+            place = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("doc"), "doc"))
+            members = cut(prefix.select("doc", "component").distinct().withColumn("place", place))
+            most = members.agg(F.max("place")).first()[0] or 0
+            opened, upto = 0, FIRST_MEMBERS
+            while opened < most:
+                now = grouped(grouped(asked, groups, "doc", "own"), groups, "group", "other").where("own <> other").select("doc", "group")
+                now = cut(now.join(members.where(f"place > {opened}").select(F.col("component").alias("group")).distinct(), "group", "left_semi"))
+                if now.isEmpty():
+                    break
+                member = members.where(f"place > {opened} AND place <= {upto}").join(prefix, ["doc", "component"])
+                member = member.select("via", F.col("component").alias("group"), F.col("doc").alias("with"), F.col("n").alias("m"))
+                found = (
+                    prefix.select("via", "doc", "n").join(broadcast_if_small(now), "doc").join(member, ["via", "group"])
+                    .where(_sizes_fit(F.col("n"), F.col("m"), percent))
+                    .groupBy("doc", "with", "n", "m").agg(F.count("*").alias("overlap"))
+                    .where(F.col("overlap") > _spare(F.least("n", "m")))
+                    .select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b"))
+                    .distinct()
+                )
+                links = _alike(texts, cut(found.join(pairs, ["a", "b"], "left_anti")), size, percent)
+                opened, upto = upto, upto * GROWTH
+                if not links.isEmpty():
+                    groups = cut(components(links.union(groups.select("component", "node"))))
+
+        every = sets.select("doc", F.col("n").cast("long").alias("n_shingles"))
+        return cut(grouped(every, groups, "doc", "component").select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ FIRST_MEMBERS, GROWTH = 4, 16
 SEEDS = 8
 #: Column entries that a task gathers before it sends them, and buckets that they are dealt to for each partition of the shuffle.
 GATHERED, BUCKETS = 1 << 20, 8
-#: One token in so many goes to the matrix beside the prefix, so that a query must meet a group in more than one.
-SPARE = 8
+#: Ratio of the set sizes of a class: queries look up the classes that a partner can be of.
+CLASS = 1.04
 
 CELL = "sig long, doc long, n int, blocks int, lead long, lead_n int"
 #: Entries of a packed row at most, of those that may go anywhere.
@@ -295,37 +296,54 @@ def _tokens(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
     return rows.select("row", "doc", F.explode("tokens").alias("via"))
 
 
-def _spare(n: Column) -> Column:
-    return F.floor(n / SPARE)
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of n and m must share at least."""
+    return F.ceil(percent * (n + m).cast("long") / (100 + percent))
+
+
+def _class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
 
 
 def _prefixes(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(via, doc, n, component): of each document that has enough tokens in common with other groups
-    the rarest tokens, rare by how many documents have them.
+    """(via, doc, n, cap, component, weight): of each document that has enough tokens in common with other groups
+    the rarest tokens, rare by how many documents have them; cap: its tokens from this one on.
 
-    Of two sets that are alike, each has all but the last ceil(p % of its size) - 1
-    tokens of this order and spare(n) more here, so they meet here in 1 + spare(the
-    smaller n) tokens at least. Tokens of one group only meet no other, and are left out.
+    The first token in this order that two sets have in common leaves each at least the
+    overlap that they need, so it is among the rows here. Tokens that one group alone has
+    lead to no other and are left out, but they stand before it and lower its cap.
     """
     with_group = tokens.join(groups, "doc")
     counts = with_group.groupBy("via").agg(F.count("*").alias("docs"), (F.min("component") != F.max("component")).alias("common"))
     of_row = Window.partitionBy("row")
     rows = with_group.join(counts, "via").withColumns({
-        "rank": F.row_number().over(of_row.orderBy("docs", "via")) - 1, "n": F.count("*").over(of_row).cast("int"), "in_common": F.count_if("common").over(of_row),
+        "cap": F.row_number().over(of_row.orderBy(F.desc("docs"), F.desc("via"))), "n": F.count("*").over(of_row).cast("int"), "in_common": F.count_if("common").over(of_row),
     })
     need = F.ceil(percent * F.col("n").cast("long") / 100)
-    return rows.where(F.col("common") & (F.col("in_common") >= need) & (F.col("rank") <= F.col("n") - need + _spare(F.col("n")))).select("via", "doc", "n", "component")
+    return rows.where(F.col("common") & (F.col("in_common") >= need) & (F.col("cap") >= need)).select("via", "doc", "n", "cap", "component", "weight")
+
+
+def _classes(percent: int) -> Column:
+    """Size classes of the sets that one of n can be alike with from a token on that leaves it cap."""
+    most = F.floor(F.col("cap").cast("long") * (100 + percent) / percent) - F.col("n")
+    least = F.ceil(percent * F.col("n").cast("long") / 100)
+    return F.when(most >= least, F.sequence(_class(least), _class(most)))
+
+
+def _asks(prefix: DataFrame, percent: int) -> DataFrame:
+    return prefix.select("via", "doc", "n", "cap", "component", "weight", F.explode(_classes(percent)).alias("class"))
 
 
 def _queries(prefix: DataFrame, percent: int) -> DataFrame:
-    """(doc, group) where the document's overlap with the group's token union is not below the bound."""
-    union = prefix.groupBy("via", F.col("component").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    needed = F.least(_spare(F.col("n")), _spare(F.greatest("least", F.ceil(percent * F.col("n").cast("long") / 100)))) + 1
+    """(doc, group) where the document's overlap with the union of a larger group's tokens, from a common one on,
+    reaches what a member needs. Of two groups the smaller one's documents ask."""
+    by = ["via", _class(F.col("n")).alias("class"), F.col("component").alias("group"), F.col("weight").alias("group_weight")]
+    union = prefix.groupBy(*by).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("cap").alias("most_cap"))
     return (
-        prefix.join(union, "via")
-        .where((F.col("component") != F.col("group")) & (100 * F.col("n").cast("long") >= percent * F.col("least")) & (100 * F.col("most").cast("long") >= percent * F.col("n")))
-        .groupBy("doc", "n", "group").agg(F.count("*").alias("overlap"), F.min("least").alias("least"))
-        .where(F.col("overlap") >= needed)
+        _asks(prefix, percent).join(union, ["via", "class"])
+        .where(F.struct("weight", "component") < F.struct("group_weight", "group"))
+        .where((100 * F.col("n").cast("long") >= percent * F.col("least")) & (100 * F.col("most").cast("long") >= percent * F.col("n")))
+        .where(F.least("cap", "most_cap") >= _overlap(F.col("n"), F.greatest("least", F.ceil(percent * F.col("n").cast("long") / 100)), percent))
         .select("doc", "group")
         .distinct()
     )
@@ -350,8 +368,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
        components of these links and of equal sets are the groups.
     2. The token-group matrix. Documents that may still have a partner in another
        group (their columns with several groups are as many as a partner must
-       share) query the groups' token unions: over the rarest tokens of each, the
-       overlap with a group's union bounds that with any member.
+       share) query the token unions of larger groups: from a common token on,
+       rarest first, what a document and a group's union have left bounds the
+       overlap with any member. Unions are kept by size class, so that near copies
+       that are just too unlike do not meet.
     3. Only groups that reach the bound are opened, some members at first, then
        more until none is left; a query that has joined the group stops.
 
@@ -382,7 +402,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         hopeful = columns.join(several, "sig", "left_semi").groupBy("doc", "n", "blocks").agg(F.count("*").alias("have"))
         hopeful = cut(hopeful.where(F.col("have") >= F.col("blocks") - _unlike(percent)).select("doc").distinct())
         if not hopeful.isEmpty():
-            crowd = broadcast_if_small(cut(grouped(hopeful, groups, "doc", "component")))
+            crowd = cut(grouped(hopeful, groups, "doc", "component"))
+            weights = broadcast_if_small(cut(crowd.groupBy("component").agg(F.count("*").alias("weight"))))
+            crowd = broadcast_if_small(cut(crowd.join(weights, "component").select("doc", "component", "weight")))
             prefix = scratch.table(_prefixes(scratch.table(_tokens(texts, crowd, size)), crowd, percent))
             asked = cut(_queries(prefix, percent))
             place = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("doc"), "doc"))
@@ -395,15 +417,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
                 if now.isEmpty():
                     break
                 member = members.where(f"place > {opened} AND place <= {upto}").join(prefix, ["doc", "component"])
-                member = member.select("via", F.col("component").alias("group"), F.col("doc").alias("with"), F.col("n").alias("m"))
-                found = (
-                    prefix.select("via", "doc", "n").join(broadcast_if_small(now), "doc").join(member, ["via", "group"])
-                    .where(_sizes_fit(F.col("n"), F.col("m"), percent))
-                    .groupBy("doc", "with", "n", "m").agg(F.count("*").alias("overlap"))
-                    .where(F.col("overlap") > _spare(F.least("n", "m")))
-                    .select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b"))
-                    .distinct()
-                )
+                member = member.select("via", F.col("component").alias("group"), _class(F.col("n")).alias("class"), F.col("doc").alias("with"), F.col("n").alias("m"), F.col("cap").alias("with_cap"))
+                found = _asks(prefix, percent).join(broadcast_if_small(now), "doc").join(member, ["via", "group", "class"])
+                found = found.where(_sizes_fit(F.col("n"), F.col("m"), percent) & (F.least("cap", "with_cap") >= _overlap(F.col("n"), F.col("m"), percent)))
+                found = found.select(F.least("doc", "with").alias("a"), F.greatest("doc", "with").alias("b")).distinct()
                 links = _alike(texts, cut(found.join(pairs, ["a", "b"], "left_anti")), size, percent)
                 opened, upto = upto, upto * GROWTH
                 if not links.isEmpty():

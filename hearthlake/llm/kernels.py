@@ -193,6 +193,55 @@ def same_as_before(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
 
 
+#: Entries of a packed row at most, of those that may go to any bucket.
+PIECE = 4096
+
+#: (bucket, kind, data of ``pack``)
+Packed = tuple[int, int, bytes]
+
+
+def bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; it rises with the hash."""
+    return (((x >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+
+
+def by_bucket(kind: int, at: np.ndarray, columns: list[np.ndarray]) -> Iterator[Packed]:
+    """Packed rows of each bucket; ``at`` and the first column rise."""
+    cuts = np.flatnonzero(same_as_before(at)[0])
+    for i, j in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+        yield int(at[i]), kind, pack(*(x[i:j] for x in columns))
+
+
+def anywhere(kind: int, columns: list[np.ndarray], buckets: int) -> Iterator[Packed]:
+    """Packed rows of at most PIECE entries, each in some bucket."""
+    order = np.argsort(columns[0].view(U), kind="stable")
+    for i in range(0, len(order), PIECE):
+        piece = [x[order[i : i + PIECE]] for x in columns]
+        yield int(bucket(mix(piece[1][:1].view(U)), buckets)[0]), kind, pack(*piece)
+
+
+def packed(rows: list[Packed]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int8(), pa.binary()))], ["bucket", "kind", "data"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], alone: tuple[int, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(kind, columns) of packed rows that come in order of bucket and kind: those of the kinds ``alone``
+    row by row, of others all of a bucket together."""
+    now, parts = None, []
+    for batch in batches:
+        for at, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind in alone:
+                yield kind, unpack(data)
+                continue
+            if now != (at, kind):
+                if parts:
+                    yield now[1], [np.concatenate(x) for x in zip(*parts, strict=True)]
+                now, parts = (at, kind), []
+            parts.append(unpack(data))
+    if parts:
+        yield now[1], [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node that it hangs together with) for the nodes of edges (a, b)."""
     node, at = np.unique(np.concatenate([a, b]), return_inverse=True)

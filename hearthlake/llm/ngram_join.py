@@ -24,8 +24,6 @@ GATHERED, BUCKETS = 1 << 20, 8
 CLASS = 1.04
 
 CELL = "sig long, doc long, n int, blocks int, lead long, lead_n int"
-#: Entries of a packed row at most, of those that may go anywhere.
-PIECE = 4096
 
 
 @lru_cache
@@ -112,35 +110,20 @@ def matrix(size: int, percent: int, buckets: int) -> Callable[[Iterator[pa.Recor
     task where columns meet.
     """
 
-    def rows(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        """bucket: rises, as the first column does."""
-        at = np.flatnonzero(K.same_as_before(bucket)[0])
-        for i, j in zip(at, np.append(at[1:], len(bucket)), strict=True):
-            yield int(bucket[i]), kind, K.pack(*(x[i:j] for x in columns))
-
-    def anywhere(kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        order = np.argsort(columns[0].view(K.U), kind="stable")
-        for i in range(0, len(order), PIECE):
-            piece = [x[order[i : i + PIECE]] for x in columns]
-            yield int(_bucket(K.mix(piece[1][:1].view(K.U)), buckets)[0]), kind, K.pack(*piece)
-
-    def batch_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int8(), pa.binary()))], ["bucket", "kind", "data"])
-
     def send(cells: list[np.ndarray], sets: list[np.ndarray], alone: list[np.ndarray]) -> pa.RecordBatch:
-        found = list(anywhere(0, alone))
+        found = list(K.anywhere(0, alone, buckets))
         order = np.lexsort((sets[1], sets[0].view(K.U)))
         sets = [x[order] for x in sets]
-        found += rows(1, _bucket(sets[0].view(K.U), buckets), sets)
+        found += K.by_bucket(1, K.bucket(sets[0].view(K.U), buckets), sets)
         order = np.lexsort((cells[1], cells[0].view(K.U)))
         sig, doc, n, have = (x[order] for x in cells)
         start, lead = K.same_as_before(sig)
         other = doc != doc[lead]
         shared = np.zeros(len(sig), np.int64)
         shared[lead[other]] = 1
-        found += anywhere(2, [sig[other], doc[other], n[other], have[other], doc[lead[other]], n[lead[other]]])
-        found += rows(3, _bucket(sig[start].view(K.U), buckets), [sig[start], doc[start], n[start], 2 * have[start] + shared[start]])
-        return batch_of(found)
+        found += K.anywhere(2, [sig[other], doc[other], n[other], have[other], doc[lead[other]], n[lead[other]]], buckets)
+        found += K.by_bucket(3, K.bucket(sig[start].view(K.U), buckets), [sig[start], doc[start], n[start], 2 * have[start] + shared[start]])
+        return K.packed(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
@@ -178,11 +161,6 @@ def matrix(size: int, percent: int, buckets: int) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each hash; it rises with the hash."""
-    return (((x >> K.U(32)) * K.U(buckets)) >> K.U(32)).astype(np.int64)
-
-
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of packed rows that come by bucket and kind: each document (sig null) with the least of its set, and the
     entries of columns that several documents share with the least document of the column."""
@@ -193,39 +171,23 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns += [pa.array(x.astype(t.to_pandas_dtype()), t, mask=unnamed if k in (0, 3) else None) for k, (x, t) in enumerate(zip((doc, n, have, lead, lead_n), kinds[1:], strict=True))]
         return pa.RecordBatch.from_arrays(columns, ["sig", "doc", "n", "blocks", "lead", "lead_n"])
 
-    def together(kind: int, parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        if kind == 1:
+    for kind, columns in K.unpacked(batches, alone=(0, 2)):
+        if kind == 0:
+            lead, doc, n, unnamed = columns
+            yield cells(None, doc, n, np.zeros_like(n), lead, n, unnamed > 0)
+        elif kind == 1:
             order = np.lexsort((columns[2], columns[1], columns[0]))
             a, b, doc, n = (x[order] for x in columns)
-            lead = doc[K.same_as_before(a, b)[1]]
-            yield cells(None, doc, n, np.zeros_like(n), lead, n)
+            yield cells(None, doc, n, np.zeros_like(n), doc[K.same_as_before(a, b)[1]], n)
+        elif kind == 2:
+            yield cells(*columns)
         else:
             order = np.lexsort((columns[1], columns[0]))
             sig, doc, n, have = (x[order] for x in columns)
             start, lead = K.same_as_before(sig)
-            at = np.flatnonzero(start)
-            several = np.maximum.reduceat((doc != doc[lead]) | (have & 1 > 0), at)[np.cumsum(start) - 1]
+            several = np.maximum.reduceat((doc != doc[lead]) | (have & 1 > 0), np.flatnonzero(start))[np.cumsum(start) - 1]
             yield cells(sig[several], doc[several], n[several], have[several] >> 1, doc[lead][several], n[lead][several])
 
-    now, parts = None, []
-    for batch in batches:
-        for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind in (0, 2):
-                x = K.unpack(data)
-                if kind == 0:
-                    yield cells(None, x[1], x[2], np.zeros_like(x[2]), x[0], x[2], x[3] > 0)
-                else:
-                    yield cells(*x)
-                continue
-            if now != (bucket, kind):
-                yield from together(now and now[1], parts)
-                now, parts = (bucket, kind), []
-            parts.append(K.unpack(data))
-    yield from together(now and now[1], parts)
-
 
 def token_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

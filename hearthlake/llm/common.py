@@ -56,6 +56,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def named(columns: list[str], prefix: str = "") -> list[Column]:
+    """Columns by their names as they are, whatever characters they hold; within the struct ``prefix`` if given."""
+    return [F.col(f"{prefix}." * bool(prefix) + "`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or one made of it that is not among ``columns`` (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import SPACE, cut
+from hearthlake.llm.common import SPACE, broadcast_if_small, cut
 
 
 def normal_text(text: Column) -> Column:
@@ -26,18 +26,18 @@ def exact_groups(docs: DataFrame, content: Callable[[Column], Column] = content_
     with that id all have ``kept``; a null id is larger than any other, and
     keep_id is null only where all ids of a group are). Null texts are empty ones.
 
-    Groups are first found by ``content`` (MD5; tests pass a weak one). Only rows
-    of groups of two or more are read again with their texts, and each is
-    compared by bytes with the row that its group keeps: an equi-join whose
-    skewed partitions adaptive execution splits, as the kept side is one row a
-    group. Rows that differ from it, in a collision of the hash, are grouped by
+    Groups are first found by ``content`` (MD5; tests pass a weak one). Only texts
+    of groups of two or more are shuffled (where these groups are broadcast; beyond
+    64 MB of them the semi-join shuffles too), and each is compared by bytes with
+    the row that its group keeps: an equi-join whose skewed partitions adaptive
+    execution splits, as the kept side is one row a group. Rows that differ from it, in a collision of the hash, are grouped by
     the text itself. Aggregations combine before the shuffle, so a group of any
     size is a row a task.
     """
     text = normal_text(F.col("text"))
     small = cut(docs.select("doc_id", "text").withColumn("text", text).select("doc_id", content(F.col("text")).alias("h"), F.sha2("text", 256).alias("text_sha256")))
     sizes = small.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = cut(sizes.where("group_size > 1"))
+    many = broadcast_if_small(cut(sizes.where("group_size > 1")))
     texts = docs.select("doc_id", text.alias("text")).withColumn("h", content(F.col("text"))).join(many, "h")
     kept = (
         texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))

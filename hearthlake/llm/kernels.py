@@ -208,7 +208,7 @@ def bucket(x: np.ndarray, buckets: int) -> np.ndarray:
 def by_bucket(kind: int, at: np.ndarray, columns: list[np.ndarray]) -> Iterator[Packed]:
     """Packed rows of each bucket; ``at`` and the first column rise."""
     cuts = np.flatnonzero(same_as_before(at)[0])
-    for i, j in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+    for i, j in zip(cuts, np.append(cuts, len(at))[1:], strict=True):
         yield int(at[i]), kind, pack(*(x[i:j] for x in columns))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import broadcast_if_small, cut, words
+from hearthlake.llm.common import broadcast_if_small, cut, named, words
 
 #: Hash keys have 60 bits; the upper 16 number the cells of the first pass.
 KEY_BITS, CELL_BITS = 60, 16
@@ -104,7 +104,7 @@ def _by_source(left: DataFrame, right: DataFrame, more: Column | None = None) ->
 def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, seed: int = 7, size: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """How often a mix takes each document: ``docs``' doc_id and source with size,
     source_size, target, taken_times (int) and taken (size * taken_times). With
-    ``columns``: these columns of ``docs`` and taken_times.
+    ``columns``: a struct row of these columns of ``docs``, and taken_times.
 
     Every document is taken floor(target / source_size) times. The rest of the
     target is sampled by classes of size (powers of two): each class fills its
@@ -135,14 +135,14 @@ def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, se
     plan = targets.withColumnRenamed("source", "_source").join(ends, F.col("_source").eqNullSafe(F.col("source")), "left")
     plan = broadcast_if_small(cut(plan.select("_source", F.struct("source_size", "target", "whole", "ends").alias("_plan"))))
     if columns is not None:
-        rows = docs.withColumn("_key", key).withColumn("_bits", bits(size))
+        rows = docs.select(F.struct(*named(columns)).alias("row"), "source", key.alias("_key"), bits(size).alias("_bits"))
     else:
         rows = rows.withColumnsRenamed({"key": "_key", "bits": "_bits"})
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     extra = F.coalesce(F.col("_key") <= F.col("_plan.ends")[F.col("_bits")], F.lit(False))
     times = F.least(F.col("_plan.whole") + extra.cast("int"), F.lit(int(epochs)))
     if columns is not None:
-        return out.select(*columns, times.alias("taken_times"))
+        return out.select("row", times.alias("taken_times"))
     return out.select("doc_id", "source", "size", "_plan.source_size", "_plan.target", times.alias("taken_times"), (F.col("size") * times).alias("taken"))
 
 

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthlake.llm import kernels as K
-from hearthlake.llm.common import table
+from hearthlake.llm.common import named, table
 
 #: Bound of the sample of labelled rows that a model is fitted on, and of the pairs drawn from it.
 MAX_LABELS, MAX_PAIRS = 8_000, 16_000
@@ -122,13 +123,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), K.lists(x.ravel().astype(np.float32), at_x)], ["y", "x"])
 
 
-def _scores(model: Ranking, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scores(model: Ranking, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(text)
+            column = batch.column(batch.num_columns - 1)
             found = [model.score(features(data, at)) for _, _, data, at in K.chunks(column)]
-            names = [n for n in batch.schema.names if n != "_text"]
-            kept = [batch.column(n) for n in names]
+            kept, names = batch.columns[:-1], batch.schema.names[:-1]
+            if with_text:
+                kept, names = [*kept, column], [*names, "text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, "score"])
 
     return run
@@ -152,13 +154,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labels
     return fit(x.astype(float), rows.column("y").to_numpy())
 
 
-def score(docs: DataFrame, model: Ranking, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` and score (0 to 1; higher: label 1 is likelier), from whole texts alone.
+def score(docs: DataFrame, model: Ranking, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` and ``name``, the score (0 to 1; higher: label 1 is likelier), from whole texts alone.
 
-    Null texts are empty ones, which have a score too; no rows give no rows."""
-    kept = docs.select(*columns) if "text" in columns else docs.select(*columns, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text")
-    return kept.mapInArrow(_scores(model, (columns + ["text"]).index("text")), f"{fields}, score double")
+    Null texts are empty ones, which have a score too; no rows give no rows. ``columns`` may
+    have any names but ``name``."""
+    own = [c for c in columns if c != "text"]
+    # the text comes last, where the function finds it, and goes on only if it is asked for
+    kept = docs.select(*([F.struct(*named(own)).alias("row")] if own else []), "text")
+    kind = T.StructType([*kept.schema.fields] if "text" in columns else kept.schema.fields[:-1]).add("score", T.DoubleType())
+    scored = kept.mapInArrow(_scores(model, "text" in columns), kind)
+    return scored.select(*(named([c], "row" if c != "text" else "")[0] for c in columns), F.col("score").alias(name))
 
 
 def learnable(labels: DataFrame, folds: int = 5) -> DataFrame:

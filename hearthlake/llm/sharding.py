@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hearthlake.llm.common import cut
+from hearthlake.llm.common import cut, fresh, named
 
 ROW_BYTES = 8
 
@@ -20,7 +21,8 @@ def text_bytes(text: Column) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = 24, whole: float = 0.05, columns: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row of ``docs`` (and ``columns`` of it).
+    """doc_id, size, text_crc32, shard and slot of every row of ``docs`` (and ``columns`` of it; one that
+    has a name of these gets _ at its end).
 
     Rows stand in the order of doc_id, equal texts together at the smallest id
     among them. The global prefix sum of size (UTF-8 bytes of the text and 8) is
@@ -36,7 +38,8 @@ def shard(docs: DataFrame, shards: int = 24, whole: float = 0.05, columns: list[
     texts have 8 bytes and are equal; null ids stand first; repeated rows have
     slots of their own. No rows give no rows.
     """
-    more = [F.col(c) for c in columns or []]
+    more = [F.struct(*named(columns)).alias("row")] if columns else []
+    kept = ["doc_id", "size", "text_crc32", *(["row"] if columns else [])]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("_h"), *more)
     rows = cut(rows)
@@ -52,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 24, whole: float = 0.05, columns: list[
         .sortWithinPartitions("_first", "_h", "_unit", "doc_id", "text_crc32")
     )
     # checkpointed, so the partitions that totals and running sums speak of are the same
-    spread = cut(spread.select("doc_id", "size", "text_crc32", "_h", "_bytes", *(columns or [])))
+    spread = cut(spread.select(*kept, "_h", "_bytes"))
     part = F.spark_partition_id().alias("part")
     totals = spread.groupBy(part).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,17 +81,18 @@ def shard(docs: DataFrame, shards: int = 24, whole: float = 0.05, columns: list[
             whole_bytes = batch.column("_bytes").to_numpy(zero_copy_only=False).astype(float)
             middle = np.where(np.isnan(whole_bytes), at + size / 2, begins[number] + whole_bytes / 2)
             out = np.minimum((middle / target).astype(np.int32), shards - 1)
-            keep = [i for i, name in enumerate(batch.schema.names) if not name.startswith("_")]
-            arrays = [batch.column(i) for i in keep] + [pa.array(out), pa.array(row + np.arange(len(of)))]
-            yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[i] for i in keep] + ["shard", "_at"])
+            arrays = [batch.column(c) for c in kept] + [pa.array(out), pa.array(row + np.arange(len(of)))]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "shard", "_at"])
             before, row, group, group_at = int(at[-1] + size[-1]), row + len(of), of[-1], begins[number[-1]]
 
-    kept = [f for f in spread.schema.fields if not f.name.startswith("_")]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", shard int, _at long"
+    kind = T.StructType([spread.schema[c] for c in kept]).add("shard", T.IntegerType()).add("_at", T.LongType())
     placed = cut(spread.mapInArrow(place, kind))
+    names: list[str] = []
+    for c in columns or []:
+        names.append(fresh(c, ["doc_id", "size", "text_crc32", "shard", "slot", *names]))
     starts = placed.groupBy("shard").agg(F.min("_at").alias("_start"))
     return placed.join(F.broadcast(starts), "shard").select(  # a row a shard
-        "doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_start")).alias("slot"), *(columns or [])
+        "doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_start")).alias("slot"), *(F.col("row")[c].alias(to) for c, to in zip(columns or [], names, strict=True))
     )
 
 

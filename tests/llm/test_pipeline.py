@@ -111,3 +111,24 @@ def test_shards_hold_every_row(stages):
 def test_run_gives_the_rows_of_its_stages(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "size", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_stages_keep_columns_of_any_name_and_rows_of_repeated_ids(spark):
+    """Columns named as those that the operators use, a dotted name, and ids that several texts share."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = {c: F.lit(k) for k, c in enumerate(["score", "_key", "key", "again", "_n", "n", "row", "size", "shard", "slot", "_h", "_text", "a.b", "text_crc32", "component_id"])}
+    twice = docs.orderBy("doc_id").limit(2).withColumn("text", F.concat_ws(" ", F.lit("quite other words than those before"), F.reverse("text")))
+    docs = docs.unionByName(twice).withColumns(extra)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        rows = out.count()
+        if stage is corpus_pipeline.sharding:
+            assert rows == docs.count() and {"_key", "a.b", "size_", "shard_", "slot_", "text_crc32_"} <= set(out.columns)
+        else:
+            assert out.columns == docs.columns and 0 < rows
+            assert out.selectExpr("sum(score)", "sum(_key) / count(*)", "sum(`a.b`) / count(*)").first()[1:] == (1.0, 12.0)
+        if stage is corpus_pipeline.near_duplicates:
+            ids = [r.doc_id for r in twice.collect()]
+            assert out.where(F.col("doc_id").isin(ids) & F.col("text").startswith("quite other words")).count() == 2, "a row is no copy because its id repeats"
+    none = docs.limit(0)
+    assert all(stage(spark, none, DATA).count() == 0 for _, stage in corpus_pipeline.STAGES)

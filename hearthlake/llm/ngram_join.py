@@ -19,11 +19,11 @@ from hearthlake.llm.components import components
 FIRST_MEMBERS, GROWTH = 4, 16
 SEEDS = 8
 #: Column entries that a task gathers before it sends them, and buckets that they are dealt to for each partition of the shuffle.
-GATHERED, BUCKETS = 1 << 20, 8
+GATHERED, BUCKETS = 1 << 18, 8
 #: Ratio of the set sizes of a class: queries look up the classes that a partner can be of.
 CLASS = 1.04
 
-CELL = "sig long, doc long, n int, blocks int, lead long, lead_n int"
+CELL = "sig long, doc long, n int, need int, lead long, lead_n int"
 
 
 @lru_cache
@@ -41,18 +41,20 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least = np.array(starts, np.int64)
     most = np.append(least[1:] - 1, 1 << 32)
     unlike = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
-    spare = np.where(unlike > 0, 1 + unlike // 12, 0)
+    spare = np.where(unlike > 0, 1 + unlike // 5, 0)
     return least, unlike, unlike + 1 + spare
 
 
 def blocks(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature, blocks of that row and class) of each token block.
+    """(row, signature, signatures that a partner must share) of each token block.
 
     A row's set is cut into blocks by ranges of the token hash, in its own size
     class and, if smaller partners may be of it, in the next lower class; a
     block's signature hashes all its tokens. A set with too few blocks that are
-    not empty is cut again under other hashes (its last column is 0 then), and
+    not empty is cut again under other hashes (its last column is 1 then), and
     in the end token by token, so that no pair goes without a common signature.
+    A token in which partners differ spoils one block at most, so of a set with
+    enough blocks a partner of the class shares all but as many as it may differ in.
     """
     least, unlike, parts = size_classes(percent)
     n = np.diff(first)
@@ -60,7 +62,9 @@ def blocks(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
     smallest = -(-n * percent // 100)
     lower = np.flatnonzero((own > 0) & (smallest < least[np.maximum(own, 0)]))
     out = []
-    for rows, of in ((np.flatnonzero(n > 0), own), (lower, own - 1)):
+    # with a partner of its own class a set is the smaller one or as good as; one of the lower class is smaller
+    partner = np.where(n > 0, n * 100 // percent, 0), np.maximum(least[np.maximum(own, 0)] - 1, 0)
+    for rows, of, most in ((np.flatnonzero(n > 0), own, partner[0]), (lower, own - 1, partner[1])):
         for seed in range(SEEDS + 1):
             if not len(rows):
                 break
@@ -85,7 +89,8 @@ def blocks(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
             label = K.mix(name[at] * K._STEP[1] + kind.astype(K.U)[row[at]] * K._STEP[2] + K.U(seed))
             have = np.bincount(row[at], minlength=len(rows))
             good = have > unlike[kind]
-            stated = np.where(good & (seed == 0), have, 0)
+            differ = (100 - percent) * (n[rows] + most[rows]) // (100 + percent)
+            stated = np.where(good & (seed == 0), np.maximum(have - differ, 1), 1)
             out.append((rows[row[at]], K.mix(sums + label), stated[row[at]]))
             rows = rows[~good]
     if not out:
@@ -116,13 +121,13 @@ def matrix(size: int, percent: int, buckets: int) -> Callable[[Iterator[pa.Recor
         sets = [x[order] for x in sets]
         found += K.by_bucket(1, K.bucket(sets[0].view(K.U), buckets), sets)
         order = np.lexsort((cells[1], cells[0].view(K.U)))
-        sig, doc, n, have = (x[order] for x in cells)
+        sig, doc, n, need = (x[order] for x in cells)
         start, lead = K.same_as_before(sig)
         other = doc != doc[lead]
         shared = np.zeros(len(sig), np.int64)
         shared[lead[other]] = 1
-        found += K.anywhere(2, [sig[other], doc[other], n[other], have[other], doc[lead[other]], n[lead[other]]], buckets)
-        found += K.by_bucket(3, K.bucket(sig[start].view(K.U), buckets), [sig[start], doc[start], n[start], 2 * have[start] + shared[start]])
+        found += K.anywhere(2, [sig[other], doc[other], n[other], need[other], doc[lead[other]], n[lead[other]]], buckets)
+        found += K.by_bucket(3, K.bucket(sig[start].view(K.U), buckets), [sig[start], doc[start], n[start], 2 * need[start] + shared[start]])
         return K.packed(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +152,10 @@ def matrix(size: int, percent: int, buckets: int) -> Callable[[Iterator[pa.Recor
                     new[r] = len(seen) > before
                 held[2].append([x[~new] for x in (lead, doc, n, (~named).astype(np.int64))])
                 held[1].append([x[new] for x in (*whole.view(np.int64), doc, n)])
-                row, sig, have = blocks(tokens, first, percent)
+                row, sig, need = blocks(tokens, first, percent)
                 keep = new[row]
                 row = row[keep]
-                held[0].append([sig[keep].view(np.int64), doc[row], n[row], have[keep]])
+                held[0].append([sig[keep].view(np.int64), doc[row], n[row], need[keep]])
                 gathered += len(row) + hi - lo
                 if gathered >= GATHERED:
                     yield send(*([np.concatenate(x) for x in zip(*parts, strict=True)] for parts in held))
@@ -169,7 +174,7 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()
         columns = [pa.nulls(len(doc), pa.int64()) if sig is None else pa.array(sig)]
         columns += [pa.array(x.astype(t.to_pandas_dtype()), t, mask=unnamed if k in (0, 3) else None) for k, (x, t) in enumerate(zip((doc, n, have, lead, lead_n), kinds[1:], strict=True))]
-        return pa.RecordBatch.from_arrays(columns, ["sig", "doc", "n", "blocks", "lead", "lead_n"])
+        return pa.RecordBatch.from_arrays(columns, ["sig", "doc", "n", "need", "lead", "lead_n"])
 
     for kind, columns in K.unpacked(batches, alone=(0, 2)):
         if kind == 0:
@@ -246,11 +251,6 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
 
 
-def _unlike(percent: int) -> Column:
-    """Tokens at most in which a set of n and one like it differ."""
-    return F.floor((100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / (100 + percent))
-
-
 def _tokens(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
     """(row, doc, via): the tokens of each row of ``texts`` whose document is in ``crowd``."""
     rows = texts.join(broadcast_if_small(crowd.select("doc")), F.col("doc_id") == F.col("doc")).select("doc", "text")
@@ -361,8 +361,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
         several = grouped(grouped(columns, groups, "doc", "component"), groups, "lead", "lead_component")
         several = broadcast_if_small(cut(several.where("component <> lead_component").select("sig").distinct()))
-        hopeful = columns.join(several, "sig", "left_semi").groupBy("doc", "n", "blocks").agg(F.count("*").alias("have"))
-        hopeful = cut(hopeful.where(F.col("have") >= F.col("blocks") - _unlike(percent)).select("doc").distinct())
+        hopeful = columns.join(several, "sig", "left_semi").groupBy("doc", "n", "need").agg(F.count("*").alias("have"))
+        hopeful = cut(hopeful.where("have >= need").select("doc").distinct())
         if not hopeful.isEmpty():
             crowd = cut(grouped(hopeful, groups, "doc", "component"))
             weights = broadcast_if_small(cut(crowd.groupBy("component").agg(F.count("*").alias("weight"))))

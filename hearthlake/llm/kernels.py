@@ -17,7 +17,7 @@ U = np.uint64
 #: Fixed odd multipliers.
 _PRIME = 0x9E3779B97F4A7C15
 _STEP = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BYTE = np.arange(256)
 _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -171,8 +171,9 @@ def pack(*columns: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
+def unpack(data: bytes | pa.Buffer) -> list[np.ndarray]:
     """The columns of ``pack``, as int64."""
+    data = memoryview(data)
     (n, base), at, out = np.frombuffer(data, np.int64, 2), 16, []
     while at < len(data):
         width, at = data[at], at + 1
@@ -229,15 +230,16 @@ def unpacked(batches: Iterator[pa.RecordBatch], alone: tuple[int, ...]) -> Itera
     row by row, of others all of a bucket together."""
     now, parts = None, []
     for batch in batches:
-        for at, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        data = batch.column(2)
+        for k, (at, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             if kind in alone:
-                yield kind, unpack(data)
+                yield kind, unpack(data[k].as_buffer())
                 continue
             if now != (at, kind):
                 if parts:
                     yield now[1], [np.concatenate(x) for x in zip(*parts, strict=True)]
                 now, parts = (at, kind), []
-            parts.append(unpack(data))
+            parts.append(unpack(data[k].as_buffer()))
     if parts:
         yield now[1], [np.concatenate(x) for x in zip(*parts, strict=True)]
 

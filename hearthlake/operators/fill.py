@@ -28,10 +28,11 @@ def interpolate(rows: DataFrame, keys: list[str], value: str = "value", limit: i
     """Nulls on the line between known neighbours, by position; of a longer gap only the
     ``limit`` rows next to a known one. Beyond the ends, with ``edges``, the end's value."""
     by = ordered(keys, time)
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    # the next known row is the last one in reverse, so that both frames only grow
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (by, Window.partitionBy(*keys).orderBy(F.desc("_i"))))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i"), F.col(value).alias("v")))
     rows = rows.withColumn("_i", F.row_number().over(by))
-    rows = rows.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_n": F.first(known, ignorenulls=True).over(ahead)})
+    rows = rows.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_n": F.last(known, ignorenulls=True).over(ahead)})
     i, p, n = F.col("_i"), F.col("_p"), F.col("_n")
     inner = p["v"] + (n["v"] - p["v"]) * (i - p["_i"]) / F.nullif((n["_i"] - p["_i"]).cast("double"), F.lit(0.0))
     near = F.lit(True) if limit is None else (F.coalesce(i - p["_i"], F.lit(1 << 30)) <= limit) | (F.coalesce(n["_i"] - i, F.lit(1 << 30)) <= limit)

@@ -16,23 +16,25 @@ def align(rows: DataFrame, series: str, names: list[str], time: str = "time", va
 def nearest(base: DataFrame, other: DataFrame, keys: list[str], tolerance: float, value: str = "value", name: str = "near", time: str = "time") -> DataFrame:
     """``base`` with the ``value`` of ``other`` nearest in time, within ``tolerance`` seconds; of equally near ones the later.
 
-    Both sides are merged into one series a key and the neighbours on either side
-    found by two windows, so each row is read once and sorted once.
+    Time is dealt in buckets of the tolerance, ``other`` to the buckets beside its own
+    too, so that one long series spreads over tasks. In a bucket both sides are
+    merged and the neighbours on either side found by two windows, one in reverse,
+    whose frames only grow.
     """
-    tagged = base.withColumns({"_at": F.lit(None).cast("timestamp"), "_v": F.lit(None).cast("double"), "_base": F.lit(1)})
-    others = other.where(F.col(value).isNotNull()).select(*keys, F.col(time), F.col(time).alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_base"))
+    bucket = F.floor(seconds(F.col(time)) / F.lit(float(max(tolerance, 1))))
+    tagged = base.withColumns({"_at": F.lit(None).cast("timestamp"), "_v": F.lit(None).cast("double"), "_base": F.lit(1), "_bucket": bucket})
+    others = other.where(F.col(value).isNotNull()).select(*keys, F.col(time), F.col(time).alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_base"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
     both = tagged.unionByName(others, allowMissingColumns=True)
-    by = Window.partitionBy(*keys).orderBy(time, "_base")
+    by, reverse = (Window.partitionBy(*keys, "_bucket").orderBy(*(f(c) for c in (time, "_base", "_v"))).rowsBetween(Window.unboundedPreceding, 0) for f in (F.asc, F.desc))
     pair = F.when(F.col("_at").isNotNull(), F.struct("_at", "_v"))
-    back = F.last(pair, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(pair, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = (F.last(pair, ignorenulls=True).over(w) for w in (by, reverse))
     both = both.withColumns({"_back": back, "_ahead": ahead}).where("_base = 1")
     t = seconds(F.col(time))
     before, after = t - seconds(F.col("_back._at")), seconds(F.col("_ahead._at")) - t
     before = F.when(before <= tolerance, before)
     after = F.when(after <= tolerance, after)
     best = F.when(after.isNotNull() & (before.isNull() | (after <= before)), F.col("_ahead._v")).when(before.isNotNull(), F.col("_back._v"))
-    return both.withColumn(name, best).drop("_at", "_v", "_base", "_back", "_ahead")
+    return both.withColumn(name, best).drop("_at", "_v", "_base", "_bucket", "_back", "_ahead")
 
 
 def split_hours(intervals: DataFrame, keys: list[str], amount: str = "kwh", flag: str = "estimated", start: str = "start", end: str = "end") -> DataFrame:

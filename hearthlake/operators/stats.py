@@ -56,7 +56,7 @@ def _fill_circle(grid: DataFrame, keys: list[str], slots: int) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy("_p")
     known = F.when(F.col("m").isNotNull(), F.struct("_p", "m"))
     turns = turns.withColumns(
-        {"_b": F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(known, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))}
+        {"_b": F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))}
     ).where("_t = 0")
     b, a = F.col("_b"), F.col("_a")
     line = b["m"] + (a["m"] - b["m"]) * (F.col("_p") - b["_p"]) / F.nullif((a["_p"] - b["_p"]).cast("double"), F.lit(0.0))

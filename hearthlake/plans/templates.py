@@ -254,7 +254,7 @@ def occupancy(rows: DataFrame, keys: list[str], step: float, min_minutes: float
     # rows between occupied ones no more than the gap apart are occupied
     at = F.when(F.col("_occ"), F.col("_row"))
     back = F.last(at, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last(at, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_filled", F.coalesce(F.col("_occ") | (ahead - back <= steps(300, step)), F.lit(False)))
     new = F.when(F.col("_filled") != F.lag("_filled", 1, False).over(by), 1).otherwise(0)
     rows = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

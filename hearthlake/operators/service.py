@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from datetime import datetime, timedelta
+from datetime import datetime, time, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
@@ -154,25 +154,20 @@ def next_run(cron: str, after: datetime, zone: str = "Asia/Seoul") -> datetime:
     """The next time (UTC) of a cron expression of 5 fields (or 6, seconds first) in local time; days of
     month and of week are alternatives where both are given. ValueError if malformed or without a time in four years."""
     fields = cron.split()
-    if len(fields) == 6:
-        fields = fields[1:]
-    if len(fields) != 5:
+    if len(fields) not in (5, 6):
         raise ValueError("five or six fields are needed")
-    bounds = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)]
-    minute, hour, day, month, week = (_cron_field(f, *b) for f, b in zip(fields, bounds, strict=True))
+    fields = fields if len(fields) == 6 else ["0", *fields]
+    bounds = [(0, 59), (0, 59), (0, 23), (1, 31), (1, 12), (0, 7)]
+    second, minute, hour, day, month, week = (sorted(_cron_field(f, *b)) for f, b in zip(fields, bounds, strict=True))
     week = {d % 7 for d in week}
-    any_day, any_week = fields[2] in "*?", fields[4] in "*?"
-    t = after.astimezone(ZoneInfo(zone)).replace(tzinfo=None, second=0, microsecond=0) + timedelta(minutes=1)
-    end = t + timedelta(days=4 * 366)
-    while t < end:
-        in_day, in_week = t.day in day, (t.weekday() + 1) % 7 in week
+    any_day, any_week = fields[3] in "*?", fields[5] in "*?"
+    now = after.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+    for date in (now.date() + timedelta(days=k) for k in range(4 * 366)):
+        in_day, in_week = date.day in day, (date.weekday() + 1) % 7 in week
         fits = in_week if any_day and not any_week else in_day if any_week else in_day or in_week
-        if t.month not in month or not fits:
-            t = t.replace(hour=0, minute=0) + timedelta(days=1)
-        elif t.hour not in hour:
-            t = t.replace(minute=0) + timedelta(hours=1)
-        elif t.minute not in minute:
-            t += timedelta(minutes=1)
-        else:
-            return t.replace(tzinfo=ZoneInfo(zone)).astimezone(ZoneInfo("UTC"))
+        if date.month in month and fits:
+            of_day = (datetime.combine(date, time(h, m, s)) for h in hour for m in minute for s in second)
+            found = next((t for t in of_day if t > now), None)
+            if found:
+                return found.replace(tzinfo=ZoneInfo(zone)).astimezone(ZoneInfo("UTC"))
     raise ValueError("no such time")

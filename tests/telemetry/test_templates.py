@@ -170,6 +170,12 @@ def test_next_run(cron, want):
     assert service.next_run(cron, datetime(2026, 8, 3, 0, 0, tzinfo=timezone.utc)).strftime("%Y-%m-%dT%H:%M") == want
 
 
+def test_next_run_of_seconds():
+    at = datetime(2026, 8, 3, 0, 0, 20, tzinfo=timezone.utc)
+    assert service.next_run("*/15 * 9 * * *", at).strftime("%H:%M:%S") == "00:00:30"
+    assert service.next_run("20 0 9 * * *", at).strftime("%d %H:%M:%S") == "04 00:00:20", "strictly later"
+
+
 @pytest.mark.parametrize("cron", ["", "* * * *", "60 * * * *", "5-1 * * * *", "* * * * MOO", "0 0 31 2 *", "*/0 * * * *"])
 def test_bad_cron(cron):
     with pytest.raises(ValueError):

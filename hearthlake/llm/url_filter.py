@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import lower_ascii
+from hearthlake.llm.common import cut, lower_ascii
 from hearthlake.llm.components import components
 
 #: (verdict, host, path) of the query.
@@ -67,24 +67,55 @@ def node(url: Column) -> Column:
     return F.concat(host(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(segment == ".", kept).when(segment == "..", up).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), step)
+    return F.concat(F.array_join(kept, "/"), F.when((F.size(kept) == 1) | last.isin(".", ".."), "/").otherwise(""))
+
+
+def _absolute(url: Column, to: Column) -> Column:
+    """Where a link ``to`` on the page ``url`` leads; null for another scheme without ``://`` and for a mere fragment."""
+    scheme, at = F.regexp_extract(url, r"(?s)^(.*?)://", 1), path(url)
+    target, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(at, r"(?s)^/(.*/)", 1))
+    joined = F.when(target == "", at).when(F.startswith(target, F.lit("/")), target).otherwise(_without_dots(F.concat(folder, target)))
+    return (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(~to.rlike("^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.concat(scheme, F.lit("://"), host(url), joined, rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b) node pairs of redirects (meta refresh) and canonical links that the pages' html states."""
+    """(a, b) node pairs of all redirects (meta refresh) and canonical links that the pages' html states,
+    relative ones against the page's own url (``<base>`` is not read)."""
     html = F.coalesce("html", F.lit(""))
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract(html, _REL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1),
+    tags = F.concat(
+        F.transform(F.regexp_extract_all(html, F.lit(_REL), F.lit(0)), lambda tag: F.regexp_extract(tag, _HREF, 1)),
+        F.transform(F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(0)), lambda tag: F.regexp_extract(tag, _TARGET, 1)),
     )
     to = (
         pages.where(F.col("url").contains("://") & html.rlike("(?i)canonical|refresh"))
         .select("url", F.explode(tags).alias("to"))
         .where("to <> ''")
     )
-    absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to"))
-        .when(F.startswith("to", F.lit("/")), F.concat(F.lit("http://"), host(F.col("url")), "to"))
-    )
-    return to.select(node(F.col("url")).alias("a"), node(absolute).alias("b")).where("b IS NOT NULL")
+    return to.select(node(F.col("url")).alias("a"), node(_absolute(F.col("url"), F.col("to"))).alias("b")).where("b IS NOT NULL")
+
+
+def equivalent(links: DataFrame) -> DataFrame:
+    """(node, component) of every url that ``links`` connect with another; urls are numbered for that, not hashed."""
+    links = cut(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
+    # the numbers are written before they are used, so a task that is run again does not change them
+    names = cut(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    ends = [names.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id")) for side in "ab"]
+    return names.join(components(links.join(ends[0], "a").join(ends[1], "b"), "a_id", "b_id", "id"), "id").select("node", "component")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -102,7 +133,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = No
     links = page_links(pages) if links is None else links
     pages = pages.select("page_id", "url")
     judged = judge(pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}), rules)
-    groups = components(links)
+    groups = cut(equivalent(links))
     members = groups.select(
         "node", "component", F.regexp_extract("node", r"(?s)^([^/?#]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path")
     )

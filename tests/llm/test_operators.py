@@ -284,6 +284,19 @@ def test_shards_are_contiguous_and_balanced(spark):
                 assert len(shards) == 1 or together > whole * total
 
 
+def test_links_of_pages(spark):
+    link = '<link rel="canonical" href="%s">'
+    cases = [
+        ("http://h.org/a/b", "c.html", "h.org/a/c.html"), ("http://h.org/a/b", "?x=2", "h.org/a/b?x=2"), ("http://h.org", "c", "h.org/c"), ("http://h.org/a/b?q", "../c?y#z", "h.org/c?y"),
+        ("http://h.org/a/", "./.", "h.org/a/"), ("http://h.org/a/b", "../../..", "h.org/"), ("https://h.org/a", "//i.org/k", "i.org/k"), ("http://h.org/a", "/r", "h.org/r"),
+        ("http://h.org/a", "x?u=http://y.org/", "h.org/x?u=http://y.org/"), ("http://h.org/a", "#top", None), ("http://h.org/a", "mailto:x@y.org", None),
+    ]
+    table = spark.createDataFrame([(url, link % to) for url, to, _ in cases], "url string, html string")
+    assert sorted(r.b for r in url_filter.page_links(table).collect()) == sorted(b for _, _, b in cases if b)
+    both = spark.createDataFrame([("http://h.org/a", link % "/1" + link % "/2" + '<meta http-equiv="refresh" content="0; url=/3">')], "url string, html string")
+    assert sorted(r.b for r in url_filter.page_links(both).collect()) == ["h.org/1", "h.org/2", "h.org/3"]
+
+
 def test_rules_and_aliases(spark):
     link = '<html><head><link rel="canonical" href="%s"></head></html>'
     pages = [

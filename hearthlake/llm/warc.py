@@ -228,10 +228,18 @@ def _page(name: str):
     return F.expr(f"try_cast(substring({name}, {len('urn:page:') + 1}) AS bigint)")
 
 
+def whole_records(files: DataFrame, folder: str) -> DataFrame:
+    """The last row of each record, without payloads; a response whose digest is not what its header states is an error."""
+    rows = read_archives(files, folder, payloads=False).where("last")
+    damaged = (F.col("record_type") == "response") & (F.col("stated_digest") != F.col("digest_so_far"))
+    said = F.concat(F.lit("damaged record "), "record_id")
+    return rows.withColumn("digest_so_far", F.when(damaged, F.raise_error(said)).otherwise(F.col("digest_so_far")))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     files = write_archives(records(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0), folder)
-    whole = read_archives(files, folder, payloads=False).where("last")
+    whole = whole_records(files, folder)
     response = F.col("record_type") == "response"
     out = whole.select(
         _page("record_id").alias("page_id"),

@@ -390,9 +390,8 @@ def test_hashes_of_words_and_shingles():
     assert np.all(np.diff(w.first) >= 0)
 
 
-def test_crowded_columns_equal_brute_force(spark, monkeypatch):
-    """Many copies of one text that differ from one another: rare tokens decide what is compared."""
-    monkeypatch.setattr(ngram_join, "CROWD", 3)
+def test_crowded_columns_equal_brute_force(spark):
+    """Many copies of one text that differ from one another: the token-group matrix decides what is compared."""
     rng = random.Random(12)
     base = [f"b{i}" for i in range(150)]
     rows = []

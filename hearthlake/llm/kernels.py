@@ -88,10 +88,10 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = upto
 
 
-def split(data: np.ndarray, at: np.ndarray, word_bytes: np.ndarray) -> Words:
-    """Words of the rows, lower-cased (A-Z)."""
+def split(data: np.ndarray, at: np.ndarray, word_bytes: np.ndarray, lower: bool = True) -> Words:
+    """Words of the rows, lower-cased (A-Z) unless told otherwise."""
     n = len(data)
-    data = _LOWER[data]
+    data = _LOWER[data] if lower else data
     inside = word_bytes[data]
     first_byte = np.zeros(n + 1, bool)
     first_byte[at] = True

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from hearthlake.llm import chat, decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, substring_dedup, url_filter, warc
+from hearthlake.llm import chat, decontaminate, exact_dedup, mixing, ngram_join, periodic, quality, sharding, substring_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_repeated_passages": substring_dedup.op10_repeated_passages,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
 }

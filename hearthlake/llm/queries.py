@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from hearthlake.llm import chat, decontaminate, exact_dedup, mixing, ngram_join, periodic, quality, sharding, substring_dedup, suffix_dedup, url_filter, warc
+from hearthlake.llm import chat, decontaminate, exact_dedup, hard_negatives, mixing, ngram_join, periodic, quality, sharding, substring_dedup, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_repeated_passages": substring_dedup.op10_repeated_passages,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op11_periodic_runs": periodic.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_suffix_dedup": suffix_dedup.ORACLE,
 }

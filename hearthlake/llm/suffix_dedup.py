@@ -17,8 +17,8 @@ from hearthlake.llm.common import Scratch, broadcast_if_small, cut, fresh, named
 ANCHOR, GRAM = 16, 8
 #: Entries that a task gathers before it sends them: anchors, and pieces of text.
 GATHERED, PIECES = 1 << 18, 1 << 16
-#: Buckets for each partition of the shuffle.
-BUCKETS = 8
+#: Buckets for each partition of the shuffle, of anchors and of documents.
+BUCKETS, DOC_BUCKETS = 8, 1
 #: Pieces that are refined together, about; those of one anchor always are.
 REFINED = 1 << 13
 #: An anchor with so many entries and a share of its bucket is dealt by whole strings instead.
@@ -106,11 +106,22 @@ def _anchored(length: int, buckets: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _by_doc(doc: np.ndarray, columns: list[np.ndarray], buckets: int) -> list[K.Packed]:
-    """Entries (kind 0) to the buckets of their documents."""
-    to = K.bucket(K.mix(doc.astype(np.int64).view(K.U)), buckets)
-    order = np.lexsort((doc, to))
-    return list(K.by_bucket(0, to[order], [x[order] for x in (doc, *columns)]))
+class Outbox:
+    """Entries (doc, part, first, more) of a task, gathered and then sent (kind 0) to the buckets of their documents."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.gathered = buckets, [], 0
+
+    def put(self, *columns: np.ndarray, at_end: bool = False) -> Batches:
+        if columns:
+            self.held.append(columns)
+            self.gathered += len(columns[0])
+        if self.gathered >= GATHERED or at_end and self.gathered:
+            doc, *rest = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.gathered = [], 0
+            to = K.bucket(K.mix(doc.astype(np.int64).view(K.U)), self.buckets)
+            order = np.lexsort((doc, to))
+            yield K.packed(list(K.by_bucket(0, to[order], [x[order] for x in (doc, *rest)])))
 
 
 def _shared(buckets: int) -> Callable[[Batches], Batches]:
@@ -118,10 +129,11 @@ def _shared(buckets: int) -> Callable[[Batches], Batches]:
     (kind 0), and the few hashes that have a good part of their bucket (kind 1)."""
 
     def run(batches: Batches) -> Batches:
+        out = Outbox(buckets)
         for kind, columns in K.unpacked(batches, alone=(2,)):
             if kind == 2:
                 doc, first, part, more = columns
-                yield K.packed(_by_doc(doc, [part, first, more], buckets))
+                yield from out.put(doc, part, first, more)
                 continue
             order = np.lexsort((columns[1], columns[0].view(K.U)))
             h, doc, part, first, more, others = (x[order] for x in columns)
@@ -131,8 +143,10 @@ def _shared(buckets: int) -> Callable[[Batches], Batches]:
             several = (np.maximum.reduceat((doc != doc[lead]) | (others > 0), at))[group]
             size = np.add.reduceat(others + 1, at)
             hot = (size >= HOT) & (size * HOT_SHARE >= size.sum())
-            rows = [(0, 1, K.pack(h[at][hot], size[hot]))] if hot.any() else []
-            yield K.packed(rows + _by_doc(doc[several], [x[several] for x in (part, first, more)], buckets))
+            if hot.any():
+                yield K.packed([(0, 1, K.pack(h[at][hot], size[hot]))])
+            yield from out.put(*(x[several] for x in (doc, part, first, more)))
+        yield from out.put(at_end=True)
 
     return run
 
@@ -348,7 +362,7 @@ def refined(pieces: Pieces, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _repeated(length: int, buckets: int) -> Callable[[Batches], Batches]:
     """Of pieces in order of bucket and kind: the strings that a smaller document has too, to the buckets of their documents."""
 
-    def solve(parts: list[tuple[Pieces, list[np.ndarray]]]) -> pa.RecordBatch:
+    def solve(parts: list[tuple[Pieces, list[np.ndarray]]]) -> list[np.ndarray]:
         offset = np.cumsum([0, *(len(p.more) for p, _ in parts)])
         pieces = Pieces.of([p for p, _ in parts])
         of, doc, part, first = (np.concatenate(x) for x in zip(*((c[0] + o, *c[1:]) for (_, c), o in zip(parts, offset, strict=False)), strict=True))
@@ -391,21 +405,20 @@ def _repeated(length: int, buckets: int) -> Callable[[Batches], Batches]:
             which = np.repeat(np.arange(len(whose)), b - a)
             e = entries[np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(len(which))]
             found.append((doc[e], part[e], first[e] + t0[which], more[which]))
-        d, p, f, m = (np.concatenate(x) for x in zip(*found, strict=True))
-        return K.packed(_by_doc(d, [p, f, m], buckets))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
 
     def run(batches: Batches) -> Batches:
-        now, parts = None, []
+        now, parts, out = None, [], Outbox(buckets)
         for batch in batches:
             data, blob, size = (batch.column(n) for n in ("data", "blob", "size"))
             for k, (at, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
                 columns = K.unpack(data[k].as_buffer())
                 if kind == 0:
                     doc, first, part, more = columns
-                    yield K.packed(_by_doc(doc, [part, first, more], buckets))
+                    yield from out.put(doc, part, first, more)
                     continue
                 if now != at and parts:
-                    yield solve(parts)
+                    yield from out.put(*solve(parts))
                     parts = []
                 now = at
                 width = 2 * length - ANCHOR
@@ -413,7 +426,8 @@ def _repeated(length: int, buckets: int) -> Callable[[Batches], Batches]:
                 numbers = np.ascontiguousarray(rows[:, width:]).view("<i4").astype(np.int64)
                 parts.append((Pieces(rows[:, :width], numbers[:, 0], numbers[:, 1]), columns))
         if parts:
-            yield solve(parts)
+            yield from out.put(*solve(parts))
+        yield from out.put(at_end=True)
 
     return run
 
@@ -474,7 +488,8 @@ def without_repeats(docs: DataFrame, length: int = 50, columns: list[str] | None
         raise ValueError(f"strings of less than {ANCHOR + GRAM} bytes have no anchor of their own")
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, doc_buckets = BUCKETS * partitions, DOC_BUCKETS * partitions
     keyed = docs.select(F.struct(*named(columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     many = cut(docs.groupBy(F.col("doc_id").cast("long").alias("doc")).count().where("count > 1 AND doc IS NOT NULL").select("doc", F.lit(True).alias("again")))
     if many.isEmpty():
@@ -489,13 +504,13 @@ def without_repeats(docs: DataFrame, length: int = 50, columns: list[str] | None
     per_doc = "doc long, part long, data binary"
     with Scratch(spark) as scratch:
         anchored = met(texts.mapInArrow(_anchored(length, buckets), PACKED))
-        shared = scratch.table(anchored.mapInArrow(_shared(buckets), PACKED))
+        shared = scratch.table(anchored.mapInArrow(_shared(doc_buckets), PACKED))
         hot = [K.unpack(r.data)[0] for r in shared.where("kind = 1").collect()]  # at most HOT_SHARE a bucket
         hot = np.sort(np.concatenate(hot).view(K.U)) if hot else np.empty(0, K.U)
         asked = cut(met(shared.where("kind = 0")).mapInArrow(_of_documents(_places), per_doc))
         rows = texts.join(broadcast_if_small(asked), ["doc", "part"]).select("doc", "part", "data", "text")
         pieces = met(rows.mapInArrow(_pieces(length, buckets, hot), f"{PACKED}, blob binary, size long"))
-        removed = met(pieces.mapInArrow(_repeated(length, buckets), PACKED))
+        removed = met(pieces.mapInArrow(_repeated(length, doc_buckets), PACKED))
         removed = cut(removed.mapInArrow(_of_documents(_merged(length)), per_doc))
     extra = []
     for name in ("n_bytes", "removed", "kept"):

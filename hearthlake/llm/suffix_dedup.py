@@ -507,8 +507,9 @@ def without_repeats(docs: DataFrame, length: int = 50, columns: list[str] | None
         shared = scratch.table(anchored.mapInArrow(_shared(doc_buckets), PACKED))
         hot = [K.unpack(r.data)[0] for r in shared.where("kind = 1").collect()]  # at most HOT_SHARE a bucket
         hot = np.sort(np.concatenate(hot).view(K.U)) if hot else np.empty(0, K.U)
+        # a few bytes for each anchor that several documents have: it grows with the texts, which go to it by shuffle
         asked = cut(met(shared.where("kind = 0")).mapInArrow(_of_documents(_places), per_doc))
-        rows = texts.join(broadcast_if_small(asked), ["doc", "part"]).select("doc", "part", "data", "text")
+        rows = texts.join(asked, ["doc", "part"]).select("doc", "part", "data", "text")
         pieces = met(rows.mapInArrow(_pieces(length, buckets, hot), f"{PACKED}, blob binary, size long"))
         removed = met(pieces.mapInArrow(_repeated(length, doc_buckets), PACKED))
         removed = cut(removed.mapInArrow(_of_documents(_merged(length)), per_doc))

@@ -63,6 +63,63 @@ def _fill_circle(grid: DataFrame, keys: list[str], slots: int) -> DataFrame:
     return turns.withColumn("m", F.coalesce("m", line, b["m"], a["m"])).drop("_t", "_p", "_b", "_a")
 
 
+def slot_widths(rows: DataFrame, keys: list[str], period: str = "AUTO", time: str = "time") -> DataFrame:
+    """(keys, width): minutes of a series' slots, from 15 to 60 by its median step; 1440 (one slot a day) where steps are of a
+    day or more, or ``period`` is NONE. A series of one row counts as hourly."""
+    step = F.unix_micros(time) - F.lag(F.unix_micros(time)).over(Window.partitionBy(*keys).orderBy(time))
+    steps = rows.withColumn("_step", step / 6e7).groupBy(*keys).agg(F.coalesce(median("_step"), F.lit(60.0)).alias("_step"))
+    width = F.when(F.lit(period == "NONE") | (F.col("_step") >= 1440), 1440).otherwise(F.greatest(F.lit(15), F.least(F.lit(60), F.floor("_step").cast("int"))))
+    return steps.select(*keys, width.alias("width"))
+
+
+def own_profile(rows: DataFrame, keys: list[str], period: str = "AUTO", value: str = "value", time: str = "time", zone: str = ZONE) -> DataFrame:
+    """(keys, width, fallback, day_type, slot, profile): what each series usually is at a time of day, by slots of its own width.
+
+    The width is a column (``slot_widths``), so series of any step go through one job. Medians by slot of local time: with
+    four weekend and four working dates at least each day type has a table; with one of each, one table and the median
+    residual of each day type; else, or with ``period`` DAILY, one table. Missing slots lie on the line between the known ones of the
+    day, those at its ends take the nearest; then each table is smoothed over three slots on the circle. What a day has
+    beyond its whole slots is ``fallback``, the series' median.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    kinds = slot_widths(rows, keys, period, time)
+    minute, day_type = minute_of_day(F.col(time), zone), (weekday(F.col(time), zone) >= 5).cast("int")
+    days = rows.withColumns({"_day": local_date(F.col(time), zone), "_we": day_type}).groupBy(*keys).agg(
+        F.least(F.count_distinct(F.when(F.col("_we") == 1, F.col("_day"))), F.count_distinct(F.when(F.col("_we") == 0, F.col("_day")))).alias("_few"), median(value).alias("fallback")
+    )
+    few = F.when(F.lit(period in ("WEEKLY", "AUTO")) & (F.col("width") < 1440), F.col("_few")).otherwise(0)
+    kinds = kinds.join(days, keys).select(*keys, "width", "fallback", F.when(few >= 4, "table").when(few >= 1, "offset").otherwise("daily").alias("_mode"))
+    rows = rows.join(kinds, keys).withColumns({"slot": F.floor(minute / F.col("width")).cast("int"), "day_type": day_type})
+    rows = rows.withColumn("_type", F.when(F.col("_mode") == "table", F.col("day_type")).otherwise(0))
+    known = rows.groupBy(*keys, "_type", "slot").agg(median(value).alias("m"))
+    slots = F.floor(1440 / F.col("width")).cast("int")
+    types = F.when(F.col("_mode") == "table", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    grid = kinds.withColumn("_type", F.explode(types)).withColumn("_slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
+    by = Window.partitionBy(*keys, "_type")
+    seen = F.when(F.col("m").isNotNull(), F.struct("slot", "m"))
+    near = grid.join(known, [*keys, "_type", "slot"], "left").withColumns(
+        {"_b": F.last(seen, True).over(by.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last(seen, True).over(by.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0))}
+    )
+    b, a = F.col("_b"), F.col("_a")
+    line = b["m"] + (a["m"] - b["m"]) * (F.col("slot") - b["slot"]) / F.nullif((a["slot"] - b["slot"]).cast("double"), F.lit(0.0))
+    near = near.withColumn("m", F.coalesce("m", line, b["m"], a["m"]))
+    around = near.withColumn("slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("slot") + d, F.col("_slots")))))
+    table = around.groupBy(*keys, "width", "fallback", "_mode", "_type", "slot").agg(F.avg("m").alias("profile"))
+    base = rows.where("_mode = 'offset'").join(table.select(*keys, "_type", "slot", "profile"), [*keys, "_type", "slot"], "left")
+    offset = base.groupBy(*keys, "day_type").agg(median(F.col(value) - F.coalesce("profile", "fallback")).alias("_off"))
+    both = table.withColumn("day_type", F.explode(F.when(F.col("_mode") == "table", F.array("_type")).otherwise(F.array(F.lit(0), F.lit(1)))))
+    return both.join(offset, [*keys, "day_type"], "left").select(*keys, "width", "fallback", "day_type", "slot", (F.col("profile") + F.coalesce("_off", F.lit(0.0))).alias("profile"))
+
+
+def own_residual(rows: DataFrame, profile: DataFrame, keys: list[str], value: str = "value", time: str = "time", zone: str = ZONE) -> DataFrame:
+    """``rows`` with profile (of ``own_profile``, its fallback where it has no such slot) and residual."""
+    kinds = profile.select(*keys, "width", "fallback").distinct()
+    slot = F.floor(minute_of_day(F.col(time), zone) / F.col("width")).cast("int")
+    rows = rows.join(kinds, keys).withColumns({"slot": slot, "day_type": (weekday(F.col(time), zone) >= 5).cast("int")})
+    rows = rows.join(profile.select(*keys, "day_type", "slot", "profile"), [*keys, "day_type", "slot"], "left").withColumn("profile", F.coalesce("profile", "fallback"))
+    return rows.withColumn("residual", F.col(value) - F.col("profile")).drop("fallback")
+
+
 def seasonal_residual(rows: DataFrame, profile: DataFrame, keys: list[str], slot_minutes: int = 60, value: str = "value", time: str = "time", zone: str = ZONE) -> DataFrame:
     """``rows`` with residual: value less its profile, centred on the series' median residual."""
     rows = rows.withColumns({"slot": F.floor(minute_of_day(F.col(time), zone) / slot_minutes).cast("int"), "day_type": (weekday(F.col(time), zone) >= 5).cast("int")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.operators.lineage import written
+
 #: Levels of spaces (site, building, floor, room ...) that are walked at most; deeper forests raise an error.
 MAX_DEPTH = 32
 
@@ -17,26 +19,33 @@ def clean_parents(spaces: DataFrame) -> DataFrame:
 
 
 def closure(spaces: DataFrame, stop: str | None = None) -> DataFrame:
-    """(ancestor, id): each space under itself and under all above it, from the roots down.
+    """(ancestor, id): each space under itself and under all above it.
 
     ``stop``: a boolean column of ``spaces``; what is below a space where it holds
-    is counted neither to it nor above it. Spaces in a cycle of parents have no
-    root and are absent. One equi-join a level of nesting.
+    is counted neither to it nor above it. Spaces in a cycle of parents, and those below one, have no
+    root and are absent; a forest deeper than MAX_DEPTH is an error.
+
+    The way up of each space is doubled: it takes on the way of the space where it ends, so n levels
+    take log2(n) joins of a row a space. The ways are written once and read by all that need them.
     """
     stop_at = F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))
-    edges = clean_parents(spaces).select("id", "parent_id", stop_at.alias("_stop"))
-    below = edges.where("parent_id IS NOT NULL").persist()
-    level = edges.where("parent_id IS NULL").select(F.col("id").alias("ancestor"), "id", "_stop").persist()
-    out = level
-    for _ in range(MAX_DEPTH):
-        step = below.alias("b").join(level.alias("l"), F.col("b.parent_id") == F.col("l.id"))
-        up = step.where("NOT l._stop").select("l.ancestor", "b.id", "b._stop")
-        own = step.where("l.ancestor = l.id").select(F.col("b.id").alias("ancestor"), "b.id", "b._stop")
-        level = up.union(own).persist()
-        if level.isEmpty():
-            return out.select("ancestor", "id")
-        out = out.union(level)
-    raise ValueError(f"spaces are nested more than {MAX_DEPTH} deep")
+    edges = clean_parents(spaces).select("id", "parent_id", stop_at.alias("stop"))
+    parents = edges.select(F.col("id").alias("parent_id"), F.col("stop").alias("_stop"))
+    one = F.array(F.struct("id", "stop"))
+    two = F.concat(one, F.array(F.struct(F.col("parent_id").alias("id"), F.col("_stop").alias("stop"))))
+    ways = edges.join(parents, "parent_id", "left").select("id", F.when(F.col("parent_id").isNull(), one).otherwise(two).alias("way"), F.col("parent_id").isNotNull().alias("open"))
+    ways, length = written(ways), 2
+    while not ways.where("open").isEmpty():
+        if length > 2 * MAX_DEPTH:
+            raise ValueError(f"spaces are nested more than {MAX_DEPTH} deep")
+        on = ways.select(F.col("id").alias("_id"), F.slice("way", 2, MAX_DEPTH * 4).alias("_way"), F.col("open").alias("_open"))
+        longer = ways.withColumn("_end", F.when(F.col("open"), F.element_at("way", -1)["id"])).join(on, F.col("_end") == F.col("_id"), "left")
+        longer = longer.where("NOT open OR _id IS NOT NULL").select("id", F.concat("way", F.coalesce("_way", F.slice("way", 1, 0))).alias("way"), (F.col("open") & F.coalesce("_open", F.lit(False))).alias("open"))
+        # a way that meets itself has no root
+        ways, length = written(longer.where(F.size(F.array_distinct(F.transform("way", lambda x: x["id"]))) == F.size("way"))), 2 * length
+    up = ways.select("id", "way", F.posexplode("way").alias("n", "x"))
+    free = ~F.exists(F.slice("way", F.lit(2), F.greatest(F.col("n"), F.lit(0))), lambda x: x["stop"])
+    return up.where(free).select(F.col("x.id").alias("ancestor"), "id")
 
 
 def roll_up(spaces: DataFrame, facts: DataFrame, measures: list[str], period: list[str]) -> DataFrame:
@@ -47,9 +56,9 @@ def roll_up(spaces: DataFrame, facts: DataFrame, measures: list[str], period: li
     children have is not added, and other is what they leave of it.
     """
     spaces = clean_parents(spaces)
-    ties = closure(spaces).persist()
+    ties = closure(spaces)
     tree = spaces.select("id", "parent_id", F.coalesce("covers_descendants", F.lit(False)).alias("covers"))
-    own = facts.groupBy("id", *period).agg(*[F.sum(m).alias(m) for m in measures]).persist()
+    own = facts.groupBy("id", *period).agg(*[F.sum(m).alias(m) for m in measures])
     covering = own.join(tree.where("covers"), "id").where(F.coalesce(*[F.col(m) for m in measures]).isNotNull()).select(F.col("id").alias("cover"), *period)
     # a fact is hidden from an ancestor if a covering space stands between them (not the ancestor nor the fact's own space)
     paths = own.join(ties, "id")

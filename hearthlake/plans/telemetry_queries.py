@@ -111,11 +111,30 @@ def space_average_by_sample(spark, sf_dir: str) -> DataFrame:
 def hybrid_scan_1h(spark, sf_dir: str) -> DataFrame:
     raw = tel.from_events(spark, sf_dir)
     aggregate = tel.continuous_aggregate(raw, "1h")
-    dirty = raw.where("device_id % 3 = 0").select(*SERIES).distinct().select(*SERIES, F.lit("1h").alias("level"), F.lit("2024-01-15 06:30:00").cast("timestamp").alias("from_ts"))
+    dirty = raw.where("device_id % 3 = 0").select(*SERIES).distinct().select(*SERIES, F.lit("1h").alias("level"), *(F.lit(f"2024-01-15 {t}").cast("timestamp").alias(n) for n, t in (("from_ts", "06:30:00"), ("to_ts", "09:00:00"))))
     rows = tel.hybrid(raw, aggregate, "1h", "2024-01-05", "2024-01-28", "2024-01-21", dirty)
     return rows.select(*SERIES, epoch("bucket"), F.round("value", 6).alias("value"), F.col("from_raw").cast("long").alias("from_raw"))
 
 
+#: (every n-th device, level, from, to) of dirty ranges: ended before the period, reaching into it, within it, of a coarser level.
+RANGES = [(3, "1h", "2024-01-02 00:10:00", "2024-01-05 00:00:00"), (5, "1m", "2024-01-04 10:20:00", "2024-01-05 12:00:00"), (7, "1m", "2024-01-18 03:10:00", "2024-01-18 03:20:00"), (11, "1d", "2024-01-06", "2024-01-07")]
+
+
+@query(f"""WITH a AS {AGG}, k AS (SELECT DISTINCT device_id, metric_key FROM {{T}}),
+  r(n, level, f, t) AS (VALUES {", ".join(f"({n}, '{v}', TIMESTAMP '{f}', TIMESTAMP '{t}')" for n, v, f, t in RANGES)}),
+  u AS (SELECT k.*, CASE WHEN min(f) IS NULL THEN TIMESTAMP '2024-01-21' ELSE greatest(TIMESTAMP '2024-01-05', date_trunc('hour', min(f))) END AS until FROM k
+    LEFT JOIN r ON device_id % n = 0 AND level IN ('1m', '1h') AND t > TIMESTAMP '2024-01-05' AND f < TIMESTAMP '2024-01-21' GROUP BY ALL),
+  old AS (SELECT a.device_id, a.metric_key, bucket, avg AS value, 0 AS from_raw FROM a JOIN u USING (device_id, metric_key) WHERE count > 0 AND NOT is_virtual AND bucket >= TIMESTAMP '2024-01-05' AND bucket < until),
+  new AS (SELECT device_id, metric_key, date_trunc('hour', time) AS bucket, avg(value) AS value, 1 AS from_raw FROM {{N}} JOIN u USING (device_id, metric_key) WHERE time < TIMESTAMP '2024-01-28' AND time >= until GROUP BY ALL)
+  SELECT device_id, metric_key, epoch_us(bucket) // 1000000 AS bucket, round(value, 6) AS value, from_raw::BIGINT AS from_raw FROM (SELECT * FROM old UNION ALL SELECT * FROM new)""")
+def hybrid_scan_overlap(spark, sf_dir: str) -> DataFrame:
+    raw = tel.from_events(spark, sf_dir)
+    ranges = spark.createDataFrame(RANGES, "n int, level string, from_ts string, to_ts string").withColumns({c: F.col(c).cast("timestamp") for c in ("from_ts", "to_ts")})
+    dirty = raw.select(*SERIES).distinct().join(F.broadcast(ranges), F.col("device_id") % F.col("n") == 0).drop("n")
+    rows = tel.hybrid(raw, tel.continuous_aggregate(raw, "1h"), "1h", "2024-01-05", "2024-01-28", "2024-01-21", dirty)
+    return rows.select(*SERIES, epoch("bucket"), F.round("value", 6).alias("value"), F.col("from_raw").cast("long").alias("from_raw"))
+
+
 @query("SELECT device_id, metric_key, epoch_us(time) AS us, value FROM {T} WHERE time >= TIMESTAMP '2024-01-03' AND time < TIMESTAMP '2024-01-20' AND quality = 0")
 def raw_union_scan(spark, sf_dir: str) -> DataFrame:
     rows = tel.from_events(spark, sf_dir)
@@ -262,6 +281,48 @@ def seasonal_residual(spark, sf_dir: str) -> DataFrame:
     return out.select("metric_key", "device_id", F.unix_micros("time").alias("us"), F.round("residual", 6).alias("residual"))
 
 
+#: Three series of steps of 5, 15 and 60 minutes, two of them without some hours of the day.
+STEPPED = """(SELECT * FROM (SELECT CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 15 ELSE 60 END AS series, value,
+  TIMESTAMP '2024-01-01' + to_minutes(CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 15 ELSE 60 END * (event_id // 3)) AS time FROM events)
+  WHERE NOT (series = 15 AND hour(time + INTERVAL 9 HOUR) IN (2, 3)) AND NOT (series = 60 AND hour(time + INTERVAL 9 HOUR) IN (23, 0)))"""
+OWN = f"""(WITH x AS (SELECT *, time + INTERVAL 9 HOUR AS l, CASE WHEN (dayofweek(time + INTERVAL 9 HOUR) + 6) % 7 >= 5 THEN 1 ELSE 0 END AS dt FROM {STEPPED}),
+  st AS (SELECT series, median(d) AS step FROM (SELECT series, (epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY series ORDER BY time)) / 6e7 AS d FROM x) GROUP BY series),
+  k AS (SELECT series, greatest(15, least(60, floor(step)))::INT AS w, least(count(DISTINCT CASE WHEN dt = 1 THEN l::DATE END), count(DISTINCT CASE WHEN dt = 0 THEN l::DATE END)) AS few, median(value) AS fallback
+    FROM x JOIN st USING (series) GROUP BY series, step),
+  r AS (SELECT x.*, w, few, fallback, (hour(l) * 60 + minute(l)) // w AS slot, CASE WHEN few >= 4 THEN dt ELSE 0 END AS ty FROM x JOIN k USING (series)),
+  m AS (SELECT series, ty, slot, median(value) AS m FROM r GROUP BY ALL),
+  g AS (SELECT series, w, few, fallback, ty, slot, m, last_value(CASE WHEN m IS NOT NULL THEN slot END IGNORE NULLS) OVER u AS bs, last_value(m IGNORE NULLS) OVER u AS bm,
+      first_value(CASE WHEN m IS NOT NULL THEN slot END IGNORE NULLS) OVER v AS as_, first_value(m IGNORE NULLS) OVER v AS am
+    FROM (SELECT *, unnest(range(1440 // w)) AS slot FROM (SELECT *, unnest(CASE WHEN few >= 4 THEN [0, 1] ELSE [0] END) AS ty FROM k)) LEFT JOIN m USING (series, ty, slot)
+    WINDOW u AS (PARTITION BY series, ty ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY series, ty ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  f AS (SELECT *, coalesce(m, bm + (am - bm) * (slot - bs) / (as_ - bs), bm, am) AS y FROM g),
+  s AS (SELECT a.series, a.w, a.few, a.fallback, a.ty, a.slot, avg(b.y) AS p FROM f a JOIN f b ON a.series = b.series AND a.ty = b.ty AND (a.slot - b.slot + 1440 // a.w) % (1440 // a.w) IN (0, 1, 1440 // a.w - 1) GROUP BY ALL),
+  o AS (SELECT r.series, r.dt, median(value - coalesce(p, r.fallback)) AS off FROM r LEFT JOIN s ON r.series = s.series AND r.slot = s.slot AND r.ty = s.ty WHERE r.few BETWEEN 1 AND 3 GROUP BY ALL)
+  SELECT s.series, w, fallback, d AS day_type, slot, p + coalesce(off, 0) AS profile FROM (SELECT *, unnest(CASE WHEN few >= 4 THEN [ty] ELSE [0, 1] END) AS d FROM s) s LEFT JOIN o ON s.series = o.series AND s.d = o.dt)"""
+
+
+def stepped(spark, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(k == 0, 5).when(k == 1, 15).otherwise(60).alias("series"), F.expr("event_id div 3").alias("i"), "value")
+    rows = rows.withColumn("time", F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.col("series") * F.col("i") * 60_000_000)).drop("i")
+    hour = local_hour(F.col("time"))
+    return rows.where(~((F.col("series") == 15) & hour.isin(2, 3)) & ~((F.col("series") == 60) & hour.isin(23, 0)))
+
+
+@query(f"SELECT series::BIGINT AS series, w::BIGINT AS width, day_type::BIGINT AS day_type, slot::BIGINT AS slot, round(profile, 6) AS profile FROM {OWN}")
+def slot_profile_own_width(spark, sf_dir: str) -> DataFrame:
+    out = stats.own_profile(stepped(spark, sf_dir), ["series"])
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("series", "width", "day_type", "slot")], F.round("profile", 6).alias("profile"))
+
+
+@query(f"""SELECT x.series::BIGINT AS series, epoch_us(time) AS us, round(value - coalesce(p.profile, k.fallback), 6) AS residual FROM {STEPPED} x JOIN (SELECT DISTINCT series, w, fallback FROM {OWN}) k USING (series)
+  LEFT JOIN {OWN} p ON x.series = p.series AND p.slot = (hour(time + INTERVAL 9 HOUR) * 60 + minute(time + INTERVAL 9 HOUR)) // k.w AND p.day_type = CASE WHEN (dayofweek(time + INTERVAL 9 HOUR) + 6) % 7 >= 5 THEN 1 ELSE 0 END""")
+def slot_residual_own_width(spark, sf_dir: str) -> DataFrame:
+    rows = stepped(spark, sf_dir)
+    out = stats.own_residual(rows, stats.own_profile(rows, ["series"]), ["series"])
+    return out.select(F.col("series").cast("long").alias("series"), F.unix_micros("time").alias("us"), F.round("residual", 6).alias("residual"))
+
+
 HOURS = "(SELECT metric_key, time_bucket(INTERVAL 1 HOUR, time) AS bucket, avg(value) AS value FROM {N} GROUP BY ALL)"
 
 

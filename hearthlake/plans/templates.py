@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from hearthlake.functions.numbers import clip, grade, ratio
 from hearthlake.functions.times import ZONE, date_bin, in_hours, local, local_date, local_hour, weekday
 from hearthlake.operators import fill, kernels, stats, windows
+from hearthlake.operators.lineage import written
 
 #: Thresholds of |z| by sensitivity, and score thresholds of the multivariate method (fixed values).
 SENSITIVITY = {1: 6.0, 2: 5.25, 3: 4.5, 4: 3.75, 5: 3.0}
@@ -43,12 +44,12 @@ def anomalies(rows: DataFrame, keys: list[str], step: float, sensitivity: int =
     profile = stats.seasonal_profile(rows, keys) if profile is None else profile
     z = stats.seasonal_residual(rows, profile, keys)
     z = z.join(stats.robust_sigma(z, keys, "residual", "_sigma"), keys)
-    z = windows.difference(z.persist().withColumn("z", F.col("residual") / F.greatest("_sigma", F.lit(1e-9))), keys, "residual", "_d")
+    z = windows.difference(z.withColumn("z", F.col("residual") / F.greatest("_sigma", F.lit(1e-9))), keys, "residual", "_d")
     width = steps(3600, step, 12)
     later = z.withColumn("_i", F.row_number().over(windows.ordered(keys))).where("_i > 1")
     z = z.join(stats.robust_sigma(later, keys, "_d", "_ds"), keys)
     z = windows.rolling_sigma(z, keys, width, "_d", "_rs").withColumn("_ratio", F.coalesce(F.col("_rs") / F.greatest("_ds", F.lit(1e-9)), F.lit(0.0)))
-    z = z.withColumn("row", F.row_number().over(windows.ordered(keys))).persist()  # several branches read it
+    z = written(z.withColumn("row", F.row_number().over(windows.ordered(keys))))  # several branches read it
     wide = windows.islands(z.drop("row"), keys, F.col("_ratio") > 2, width // 2)
     wide = wide.groupBy(*keys, "island").agg(F.min("row").alias("a"), F.max("row").alias("b")).where(f"b - a + 1 >= {width}")
     wide = wide.select(*keys, (F.col("a") - width // 2).alias("a"), (F.col("b") + width // 2).alias("b"))
@@ -303,15 +304,22 @@ def sensor_health(rows: DataFrame, device: str, period_seconds: float, step: flo
 
 
 def _from_peers(rows: DataFrame, device: str, time: str) -> DataFrame:
-    """Each device's hourly means and d, their distance from the median of the other devices: the hour's
-    sorted array without one's own place."""
-    hourly = rows.groupBy(device, date_bin(F.col(time), 3600).alias("hour")).agg(F.avg("value").alias("v"))
-    peers = hourly.groupBy("hour").agg(F.array_sort(F.collect_list("v")).alias("all")).where(F.size("all") > 1)
-    at = F.array_position("all", F.col("v")).cast("int")
-    x = hourly.join(peers, "hour").withColumn("rest", F.concat(F.slice("all", F.lit(1), at - 1), F.slice("all", at + 1, F.size("all"))))
-    n = F.size("rest")
-    middle = (F.element_at("rest", F.floor((n + 1) / 2).cast("int")) + F.element_at("rest", F.floor((n + 2) / 2).cast("int"))) / 2
-    return x.withColumn("d", F.col("v") - middle)
+    """Each device's hourly means and d, their distance from the median of the other devices.
+
+    The median without one's own value is one of the hour's three middle values, or the mean of two: which, one's
+    rank tells. So a device needs its rank and three numbers of its hour, not the others' values.
+    """
+    hourly = rows.where(F.col("value").isNotNull()).groupBy(device, date_bin(F.col(time), 3600).alias("hour")).agg(F.avg("value").alias("v"))
+    hour = Window.partitionBy("hour")
+    x = hourly.withColumns({"rank": F.row_number().over(hour.orderBy("v", device)), "n": F.count("*").over(hour)}).where("n > 1")
+    half = F.floor(F.col("n") / 2)
+    middle = hour.orderBy("v", device).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumns({f"m{k}": F.max(F.when(F.col("rank") == half + k, F.col("v"))).over(middle) for k in (0, 1, 2)})
+    # of an even number one value is left in the middle, of an odd number two; those from one's own rank on move up
+    even = F.when(F.col("rank") > half, F.col("m0")).otherwise(F.col("m1"))
+    lower = F.when(F.col("rank") > half, F.col("m0")).otherwise(F.col("m1"))
+    upper = F.when(F.col("rank") > half + 1, F.col("m1")).otherwise(F.col("m2"))
+    return x.withColumn("d", F.col("v") - F.when(F.col("n") % 2 == 0, even).otherwise((lower + upper) / 2))
 
 
 def peer_distance(rows: DataFrame, device: str, time: str = "time") -> DataFrame:

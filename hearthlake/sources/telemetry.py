@@ -76,37 +76,43 @@ def across_devices(aggregate: DataFrame, keys: list[str], agg: str = "avg") -> D
     return rows.groupBy(*keys, "bucket").agg(f(agg).alias("value"))
 
 
-def dirty_start(level: str, until: Column, dirty: DataFrame) -> DataFrame:
-    """(device_id, metric_key, from_ts): where the earliest dirty range before ``until`` begins, of this level or a finer one."""
+def dirty_start(level: str, start: str, until: Column, dirty: DataFrame) -> DataFrame:
+    """(device_id, metric_key, dirty_from): the bin where the earliest dirty range that overlaps [start, until) begins, no earlier
+    than ``start``; ranges of this level or a finer one (level, device_id, metric_key, from_ts, to_ts)."""
     finer = LEVELS[: LEVELS.index(level) + 1]
-    return (
-        dirty.where(F.col("level").isin(finer) & (F.col("from_ts") < until))
-        .groupBy("device_id", "metric_key").agg(date_bin(F.min("from_ts"), level).alias("dirty_from"))
-    )
+    begin = F.lit(start).cast("timestamp")
+    touching = dirty.where(F.col("level").isin(finer) & (F.col("from_ts") < until) & (F.col("to_ts") > begin))
+    return touching.groupBy("device_id", "metric_key").agg(F.least(F.greatest(date_bin(F.min("from_ts"), level), begin), until).alias("dirty_from"))
 
 
 def hybrid(raw: DataFrame, aggregate: DataFrame, level: str, start: str, end: str, processed_until: str | None, dirty: DataFrame | None = None) -> DataFrame:
     """Bins of each device and metric in [start, end): from the aggregate table up to the
-    watermark, or up to the bin of the first dirty range, and from raw rows beyond.
+    watermark, or up to the bin of the first dirty range that reaches into that time, and from raw rows beyond.
 
-    One pass over each table: both sides are cut by a column, not by a loop over
-    series. A bin that both sides give is the aggregate's. Without a watermark
-    all is read raw.
+    Raw rows are read by two scans. One has the watermark as a literal, which reaches the
+    files' statistics; the other goes from the first dirty bin to the watermark and is joined to the
+    dirty series only, so what the aggregate covers is not read raw. Without dirty ranges there is one scan;
+    without a watermark all is read raw. A bin that both sides give is the aggregate's.
     """
     keys = ["device_id", "metric_key"]
-    limit = F.lit(processed_until).cast("timestamp") if processed_until else F.lit(start).cast("timestamp")
+    limit = F.lit(processed_until if processed_until else start).cast("timestamp")
     limit = F.least(limit, F.lit(end).cast("timestamp"))
-    aggregate = aggregate.where(within(start, end, "bucket") & (F.col("bucket") < limit))
-    raw = raw.where(within(start, end))
+    mark = raw.sparkSession.range(1).select(F.greatest(limit, F.lit(start).cast("timestamp"))).first()[0]
+    aggregate = aggregate.where(within(start, mark, "bucket"))
+    fresh = normal(raw.where(within(mark, end))).select("time", "value", "quality", *keys)
+    first = None
     if dirty is not None:
-        dirty = dirty_start(level, limit, dirty)
-        aggregate = aggregate.join(dirty, keys, "left")
-        raw = raw.join(dirty, keys, "left")
+        dirty = dirty_start(level, start, F.lit(mark), dirty).where(F.col("dirty_from") < F.lit(mark))
+        first = dirty.agg(F.min("dirty_from")).first()[0]
+    if first is None:
+        old = aggregate
     else:
-        aggregate, raw = (x.withColumn("dirty_from", F.lit(None).cast("timestamp")) for x in (aggregate, raw))
-    until = F.least(limit, F.coalesce("dirty_from", limit))
-    old = aggregate.where((F.col("count") > 0) & ~F.col("is_virtual") & (F.col("bucket") < until)).select(*keys, "bucket", F.col("avg").alias("value"), F.lit(0).alias("from_raw"))
-    new = binned(normal(raw.where(F.col("time") >= until)), level, keys).select(*keys, "bucket", "value", F.lit(1).alias("from_raw"))
+        # only series with dirty ranges have rows here, of these only what is not covered
+        again = normal(raw.where(within(first, mark))).select("time", "value", "quality", *keys)
+        fresh = fresh.unionByName(again.join(dirty, keys).where("time >= dirty_from").select(fresh.columns))
+        old = aggregate.join(dirty, keys, "left").where(F.col("dirty_from").isNull() | (F.col("bucket") < F.col("dirty_from")))
+    old = old.where((F.col("count") > 0) & ~F.col("is_virtual")).select(*keys, "bucket", F.col("avg").alias("value"), F.lit(0).alias("from_raw"))
+    new = binned(fresh, level, keys).select(*keys, "bucket", "value", F.lit(1).alias("from_raw"))
     return old.unionByName(new).groupBy(*keys, "bucket").agg(F.min_by("value", "from_raw").alias("value"), F.min("from_raw").alias("from_raw"))
 
 

@@ -17,8 +17,8 @@ from hearthlake.llm.common import Scratch, broadcast_if_small, cut, fresh, named
 ANCHOR, GRAM = 16, 8
 #: Entries that a task gathers before it sends them: anchors, and pieces of text.
 GATHERED, PIECES = 1 << 18, 1 << 16
-#: Buckets for each partition of the shuffle, of anchors and of documents.
-BUCKETS, DOC_BUCKETS = 8, 1
+#: Buckets for each partition of the shuffle, of anchors, of pieces and of documents.
+BUCKETS, PIECE_BUCKETS, DOC_BUCKETS = 8, 4, 1
 #: Pieces that are refined together, about; those of one anchor always are.
 REFINED = 1 << 13
 #: An anchor with so many entries and a share of its bucket is dealt by whole strings instead.
@@ -489,7 +489,7 @@ def without_repeats(docs: DataFrame, length: int = 50, columns: list[str] | None
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, doc_buckets = BUCKETS * partitions, DOC_BUCKETS * partitions
+    buckets, piece_buckets, doc_buckets = (n * partitions for n in (BUCKETS, PIECE_BUCKETS, DOC_BUCKETS))
     keyed = docs.select(F.struct(*named(columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     many = cut(docs.groupBy(F.col("doc_id").cast("long").alias("doc")).count().where("count > 1 AND doc IS NOT NULL").select("doc", F.lit(True).alias("again")))
     if many.isEmpty():
@@ -510,7 +510,7 @@ def without_repeats(docs: DataFrame, length: int = 50, columns: list[str] | None
         # a few bytes for each anchor that several documents have: it grows with the texts, which go to it by shuffle
         asked = cut(met(shared.where("kind = 0")).mapInArrow(_of_documents(_places), per_doc))
         rows = texts.join(asked, ["doc", "part"]).select("doc", "part", "data", "text")
-        pieces = met(rows.mapInArrow(_pieces(length, buckets, hot), f"{PACKED}, blob binary, size long"))
+        pieces = met(rows.mapInArrow(_pieces(length, piece_buckets, hot), f"{PACKED}, blob binary, size long"))
         removed = met(pieces.mapInArrow(_repeated(length, doc_buckets), PACKED))
         removed = cut(removed.mapInArrow(_of_documents(_merged(length)), per_doc))
     extra = []

@@ -18,7 +18,7 @@ ANCHOR, GRAM = 16, 8
 #: Entries that a task gathers before it sends them: anchors, and pieces of text.
 GATHERED, PIECES = 1 << 18, 1 << 16
 #: Buckets for each partition of the shuffle, of anchors, of pieces and of documents.
-BUCKETS, PIECE_BUCKETS, DOC_BUCKETS = 8, 4, 1
+BUCKETS, PIECE_BUCKETS, DOC_BUCKETS = 8, 2, 1
 #: Pieces that are refined together, about; those of one anchor always are.
 REFINED = 1 << 13
 #: An anchor with so many entries and a share of its bucket is dealt by whole strings instead.

@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.operators.tree import closure
+
 BINDING = "ARRAY<STRUCT<role: STRING, sources: ARRAY<STRUCT<kind: STRING, deviceId: BIGINT, spaceId: BIGINT, metricKey: STRING, agg: STRING, label: STRING, semantic: STRING>>>>"
 KINDS = ["DEVICE_METRIC", "SPACE_AGGREGATE", "DERIVED_METRIC"]
 AGGREGATES = ["avg", "max", "min"]
@@ -59,12 +61,20 @@ def problems(sources: DataFrame, keys: list[str], roles: list[Role]) -> DataFram
 
 
 def devices(sources: DataFrame, space_devices: DataFrame) -> DataFrame:
-    """One row a source and device: its own device, or those of its space (``space_devices``: space_id, device_id of a space and all below it)."""
-    own = sources.where("device_id IS NOT NULL")
-    below = sources.where("device_id IS NULL").drop("device_id").join(space_devices, "space_id")
+    """One row a source and device: its own device, or, of an aggregate of a space and where it names none, those of its space (``space_devices``: space_id, device_id of a space and all below it)."""
+    has_own = F.col("device_id").isNotNull() & (F.col("kind") != "SPACE_AGGREGATE")
+    own = sources.where(has_own)
+    below = sources.where(~has_own).drop("device_id").join(space_devices, "space_id")
     return own.unionByName(below.select(own.columns))
 
 
+def devices_below(spaces: DataFrame, devices: DataFrame) -> DataFrame:
+    """(space_id, device_id): the devices of each space and of all below it, which ``devices`` (below) takes.
+    ``spaces``: id, parent_id; ``devices``: device_id, space_id."""
+    ties = closure(spaces).select(F.col("ancestor").alias("_top"), F.col("id").alias("space_id"))
+    return devices.join(ties, "space_id").select(F.col("_top").alias("space_id"), "device_id")
+
+
 def spaces(sources: DataFrame, keys: list[str]) -> DataFrame:
     return sources.where("space_id IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_set("space_id")).alias("spaces"))
 

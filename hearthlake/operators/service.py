@@ -91,6 +91,38 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return rows.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
 
 
+def feedback_labels(feedback: DataFrame, runs: DataFrame, events: DataFrame) -> DataFrame:
+    """(analysis_id, feedback_id, occurred_at, series_key, verdict): feedback of each analysis, whether it was given on one of its
+    runs or on one of its events of the same organisation.
+
+    feedback: feedback_id, organization_id, run_id, realtime_event_id, ...; runs: id, analysis_id; events: id, analysis_id,
+    organization_id. The condition is an OR; as each side names one analysis at most, both are joined by key, once for all
+    analyses, and a row belongs to the one or two that were found.
+    """
+    by_run = runs.select(F.col("id").alias("run_id"), F.col("analysis_id").alias("_run"))
+    by_event = events.groupBy(F.col("id").alias("realtime_event_id"), "organization_id").agg(F.collect_set("analysis_id").alias("_events"))
+    found = feedback.join(by_run, "run_id", "left").join(by_event, ["realtime_event_id", "organization_id"], "left")
+    either = F.array_compact(F.array_union(F.array("_run"), F.coalesce("_events", F.array("_run"))))
+    return found.select(F.explode(either).alias("analysis_id"), "feedback_id", "occurred_at", "series_key", "verdict")
+
+
+def renumbered(runs: DataFrame, org: str, order: list[str], position: str = "queue_position", status: str = "status") -> DataFrame:
+    """The queued runs whose place in their organisation's queue is not what they say, with the right one: what an update is to write."""
+    place = F.row_number().over(Window.partitionBy(org).orderBy(*order))
+    queued = runs.where(F.col(status) == "QUEUED").withColumn("_place", place)
+    return queued.where(~F.col(position).eqNullSafe(F.col("_place"))).withColumn(position, F.col("_place")).drop("_place")
+
+
+def changed(table: DataFrame, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Those of ``rows`` that differ from ``table``'s row of their key in one of ``columns`` (nulls are equal), or have none there."""
+    old = table.select(*keys, F.struct(*columns).alias("_old"))
+    both = rows.join(old, keys, "left")
+    same = F.col("_old").isNotNull()
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_old.{c}"))
+    return both.where(~same).drop("_old")
+
+
 def replace_days(rows: DataFrame, path: str, day: str = "day") -> None:
     """Writes the days that ``rows`` has in place of what ``path`` has of them; other days stay."""
     rows.write.mode("overwrite").partitionBy(day).option("partitionOverwriteMode", "dynamic").parquet(path)

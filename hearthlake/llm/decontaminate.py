@@ -103,8 +103,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
     Null texts and items have no words; an item without words has no window; null
     item_ids mark words but are not listed. Equal rows and equal doc_ids keep
-    their own results. Without documents there are no rows.
+    their own results. Without documents there are no rows. Windows of more than 10 words are refused.
     """
+    if window > 2 * GRAM:
+        raise ValueError(f"two shingles of {GRAM} words do not hold a window of {window}")
     windows = cut(item_windows(items.select("item_id", "text"), window))
     grams = windows.select("g", F.explode("grams").alias("gram")).distinct()
     sizes = sorted(r.g for r in windows.select("g").distinct().collect())  # at most GRAM rows

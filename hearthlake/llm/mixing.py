@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import broadcast_if_small, cut, named, words
+from hearthlake.llm.common import broadcast_if_small, cut, fresh, named, words
 
 #: Hash keys have 60 bits; the upper 16 number the cells of the first pass.
 KEY_BITS, CELL_BITS = 60, 16
@@ -46,11 +46,28 @@ def source_targets(sizes: DataFrame, weight: Column, share: float = 1.5, epochs:
     )
 
 
-def sample_key(doc_id: Column, seed: int) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def sample_key(name: Column, seed: int) -> Column:
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def _keyed(docs: DataFrame, seed: int, name: str) -> DataFrame:
+    """``docs`` with ``name``, a key that spreads its rows: of doc_id where that stands once, of doc_id and text where several rows
+    have it (or none), and of the row's place too where these are equal as well; such rows cannot be told apart."""
+    place, text, doc = F.monotonically_increasing_id(), F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string")
+    many = cut(docs.groupBy(doc.alias("_id")).count().where("count > 1 OR _id IS NULL").select("_id", F.lit(True).alias("_again")))
+    own = F.coalesce(doc, F.lit("null"))
+    if many.isEmpty():
+        return docs.withColumn(name, sample_key(own, seed))
+    many = broadcast_if_small(many)
+    equal = docs.select(doc.alias("_d"), text.alias("_t")).join(many, F.col("_d").eqNullSafe(F.col("_id"))).groupBy("_d", "_t").count().where("count > 1")
+    equal = broadcast_if_small(cut(equal.select("_d", "_t", F.lit(True).alias("_equal"))))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("_row"), doc.alias("_doc"), text.alias("_text"), place.alias("_place"))
+    rows = rows.join(many, F.col("_doc").eqNullSafe(F.col("_id")), "left").join(equal, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
+    parts = F.concat_ws(":", F.coalesce("_doc", F.lit("null")), F.when(F.col("_again"), F.col("_text")), F.when(F.col("_equal"), F.col("_place")))
+    return rows.select(*named(docs.columns, "_row"), sample_key(parts, seed).alias(name))
+
+
 def bits(size: Column) -> Column:
     """Class of size: the binary digits of ``size``, 0 for none."""
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
@@ -116,14 +133,15 @@ def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, se
     these cells (2**-16 of the class each) the documents to end at. Nothing but
     small rows is shuffled, and one cell is all that a task ever sorts.
 
-    Nulls: a null text has size 0, a null source is a source of its own, rows
-    with null or equal doc_id within a source and class are sampled together.
+    Nulls: a null text has size 0, a null source is a source of its own. Rows with null or
+    equal doc_id are sampled each for itself.
     Documents of size 0 are taken floor(target / source_size) times. Empty tables
     give no rows. Other columns of ``docs`` may have any name.
     """
     size = words(F.col("text")) if size is None else size
-    size, key = size.cast("long"), sample_key(F.col("doc_id"), seed)
-    rows = cut(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), bits(size).alias("bits")))
+    size, key = size.cast("long"), fresh("key", docs.columns)
+    docs = _keyed(docs, seed, key)
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), F.col(key).alias("key"), bits(size).alias("bits")))
     targets = cut(
         source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weight, share, epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -135,7 +153,7 @@ def mix(docs: DataFrame, weight: Column, share: float = 1.5, epochs: int = 2, se
     plan = targets.withColumnRenamed("source", "_source").join(ends, F.col("_source").eqNullSafe(F.col("source")), "left")
     plan = broadcast_if_small(cut(plan.select("_source", F.struct("source_size", "target", "whole", "ends").alias("_plan"))))
     if columns is not None:
-        rows = docs.select(F.struct(*named(columns)).alias("row"), "source", key.alias("_key"), bits(size).alias("_bits"))
+        rows = docs.select(F.struct(*named(columns)).alias("row"), "source", F.col(key).alias("_key"), bits(size).alias("_bits"))
     else:
         rows = rows.withColumnsRenamed({"key": "_key", "bits": "_bits"})
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))

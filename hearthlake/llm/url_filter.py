@@ -17,10 +17,29 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-_REL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_LINK, _META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 _TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)"
+#: Characters that urls in attributes have as entities: by name, and all of these by number.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "sol": "/", "equals": "=", "quest": "?", "colon": ":", "num": "#"}
+NUMBERED = "<>\"' /=?:#%+-_.,;@!$()*~[]&"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value as it stands, without quotes; empty if the tag has none."""
+    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.trim(F.regexp_replace(value, r"^[\"']|[\"']$", ""))
+
+
+def decoded(value: Column) -> Column:
+    """Entities of ENTITIES and NUMBERED as characters; the ampersand last, so nothing is decoded twice."""
+    out = value
+    for c in NUMBERED:
+        mark = rf"&#(?:0*{ord(c)}|[xX]0*(?:{ord(c):x}|{ord(c):X}));"
+        out = out if c == "&" else F.regexp_replace(out, mark, "\\$" if c == "$" else c)
+    for name, c in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(c))
+    return F.when(value.contains("&"), F.regexp_replace(out, r"&(?:amp|#0*38|#[xX]0*26);", "&")).otherwise(value)
 
 
 def host(url: Column) -> Column:
@@ -95,15 +114,24 @@ def _absolute(url: Column, to: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b) node pairs of all redirects (meta refresh) and canonical links that the pages' html states,
-    relative ones against the page's own url (``<base>`` is not read)."""
+    relative ones against the page's own url (``<base>`` is not read). Comments are no links, ``rel`` may have other
+    words beside canonical, and entities in urls are characters."""
     html = F.coalesce("html", F.lit(""))
+    shown = F.regexp_replace(html, _COMMENT, " ")
+
+    def canonical(tag: Column) -> Column:
+        return F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+
+    def refresh(tag: Column) -> Column:
+        return F.lower(_attribute(tag, "http-equiv")) == "refresh"
+
     tags = F.concat(
-        F.transform(F.regexp_extract_all(html, F.lit(_REL), F.lit(0)), lambda tag: F.regexp_extract(tag, _HREF, 1)),
-        F.transform(F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(0)), lambda tag: F.regexp_extract(tag, _TARGET, 1)),
+        F.transform(F.filter(F.regexp_extract_all("shown", F.lit(_LINK), F.lit(0)), canonical), lambda tag: decoded(_attribute(tag, "href"))),
+        F.transform(F.filter(F.regexp_extract_all("shown", F.lit(_META), F.lit(0)), refresh), lambda tag: F.regexp_extract(decoded(_attribute(tag, "content")), _TARGET, 1)),
     )
     to = (
         pages.where(F.col("url").contains("://") & html.rlike("(?i)canonical|refresh"))
-        .select("url", F.explode(tags).alias("to"))
+        .select("url", shown.alias("shown")).select("url", F.explode(tags).alias("to"))
         .where("to <> ''")
     )
     return to.select(node(F.col("url")).alias("a"), node(_absolute(F.col("url"), F.col("to"))).alias("b")).where("b IS NOT NULL")

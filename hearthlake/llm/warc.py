@@ -169,9 +169,17 @@ def _reader(folder: str, chunk: int, payloads: bool) -> Callable[[Iterator[pa.Re
             if not version.startswith(b"WARC/"):
                 raise ValueError("not a WARC record")
             field = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines)}
-            http = stream.upto(END)
-            left = int(field["content-length"]) - len(http) - len(END)
-            stated = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
+            left = int(field["content-length"])
+            if field.get("content-type", "").lower().startswith("application/http") and left:
+                http = stream.upto(END)
+                left -= len(http) + len(END)
+                size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+                stated = int(size[1]) if size else left
+            else:  # other records have no head of their own, all is payload
+                stated = left
+            # only SHA-1 is compared
+            name, _, digest = field.get("warc-payload-digest", "").partition(":")
+            digest = digest if name.lower() == "sha1" else None
             sha, done, number = hashlib.sha1(), 0, 0
             while True:
                 data = stream.take_full(min(chunk, left))
@@ -180,7 +188,7 @@ def _reader(folder: str, chunk: int, payloads: bool) -> Callable[[Iterator[pa.Re
                 sha.update(data)
                 yield (
                     field["warc-record-id"].strip("<>"), number, field["warc-type"], field.get("warc-target-uri"),
-                    field.get("warc-refers-to", "").strip("<>") or None, field["warc-payload-digest"].partition(":")[2], stated,
+                    field.get("warc-refers-to", "").strip("<>") or None, digest, stated,
                     done, base64.b32encode(sha.digest()).decode(), not left, data if payloads else None,
                 )
                 number += 1
@@ -216,7 +224,9 @@ def read_archives(files: DataFrame, folder: str, chunk: int = CHUNK, payloads: b
     record_id and chunk_no name a row; bytes_so_far and digest_so_far (base32
     SHA-1) cover the payload up to and with it, so those of the row marked
     ``last`` are the whole payload's, and no task holds more of a payload than a
-    chunk. A record without payload (empty, or a revisit) has one row.
+    chunk. A record without payload (empty, or a revisit) has one row. Records of any type are read, in any
+    order: the payload of one with an HTTP head is what follows it, that of another (warcinfo, metadata, resource) its whole
+    block; stated_digest is null where the header has no SHA-1. Without files there are no rows.
     stated_digest and stated_bytes are what the record's header says. Files are
     dealt out one to a task. Without ``payloads`` that column is null.
     """

@@ -14,28 +14,29 @@ FOLLOWS = {0: {1, 2}, 1: {2}, 2: {3}, 3: {2, 4}, 4: {3, 4}}
 
 
 def cheapest(turns):
-    """Least cost over all ways to open, merge or drop each (role number, blank)."""
-    best = None
-    for ways in itertools.product([("open", 1), ("open", 2), ("open", 3), ("open", 4), ("merge", 0), ("drop", 0)], repeat=len(turns)):
-        state, cost = 0, 0
-        for (role, blank), (what, to) in zip(turns, ways, strict=True):
-            if what == "drop":
-                if not blank:
-                    break
-                cost += 1
-                continue
-            if what == "merge":
-                if state == 0:
-                    break
-                to, cost = state, cost + 1
-            elif to not in FOLLOWS[state]:
-                break
-            cost += 0 if role == to else 3 if role else 1
-            state = to
-        else:
-            if state != 1:
-                best = cost if best is None else min(best, cost)
-    return best
+    """Least cost over all ways to open, merge or drop each (role number, blank), with up to two empty turns before it and one at the end."""
+    empties = [(), *((a,) for a in range(1, 5)), *itertools.product(range(1, 5), repeat=2)]
+    # all states after each turn with their least cost, by trying every way
+    costs = {0: 0}
+    for role, blank in turns:
+        after = {}
+
+        def take(state, cost, after=after):
+            after[state] = min(cost, after.get(state, cost))
+
+        for state, cost in costs.items():
+            if blank:
+                take(state, cost + 1)
+            if state:
+                take(state, cost + 1 + (0 if role == state else 3 if role else 1))
+            for path in empties:
+                at, ok = state, True
+                for x in path:
+                    ok, at = ok and x in FOLLOWS[at], x
+                for to in FOLLOWS[at] if ok else ():
+                    take(to, cost + 2 * len(path) + (0 if role == to else 3 if role else 1))
+        costs = after
+    return min(cost + (2 if state == 1 else 0) for state, cost in costs.items())
 
 
 def legal(roles):
@@ -69,11 +70,16 @@ def test_repairs_cost_least_and_are_legal(spark, made):
         assert sum(r.cost for r in mine) == cheapest([(stated.get(r[2], 0), not (r[3] or "").strip()) for r in given])
         slots = {}
         for r, (_, _, _, text) in zip(mine, given, strict=True):
-            assert (r.action == "drop") == (r.slot is None) == (r.rendered == "") and (r.slot is not None or not (text or "").strip())
+            assert (r.action == "drop") == (r.slot is None) and (r.slot is not None or not (text or "").strip())
+            for k, role in enumerate(r.inserted):
+                slots[r.slot - len(r.inserted) + k] = [(role, "")]
             if r.slot is not None:
                 slots.setdefault(r.slot, []).append((r.role, (text or "").replace("<|", "< |")))
+            for role in r.inserted_after:
+                slots[max(slots) + 1] = [(role, "")]
         assert sorted(slots) == list(range(len(slots))) and legal([slots[k][0][0] for k in sorted(slots)])
-        whole = "".join(f"<|im_start|>{x[0][0]}\n" + "\n".join(t for _, t in x) + "<|im_end|>\n" for _, x in sorted(slots.items()))
+        filled = {r.slot for r in mine}
+        whole = "".join(f"<|im_start|>{x[0][0]}\n" + ("\n".join(t for _, t in x) if k in filled else "") + "<|im_end|>\n" for k, x in sorted(slots.items()))
         assert "".join(r.rendered for r in mine) == whole
 
 
@@ -88,7 +94,7 @@ def test_long_equal_and_orphan_rows(spark):
     assert [(r.turn, r.action, r.role) for r in mine if r.action != "keep"] == [(1501, "merge", "user"), (1502, "merge", "user")]
     assert [r.action for r in got if r.conv_id is None] == ["none"]
     assert sorted(r.action for r in got if r.conv_id == 8) == ["keep", "merge"]
-    assert [(r.action, r.role) for r in got if r.conv_id == 9] == [("relabel", "user")]
+    assert [(r.action, r.role, r.inserted) for r in got if r.conv_id == 9] == [("keep", "assistant", ["user"])]
     assert chat.chat_turns(spark.createDataFrame([], TURNS)).count() == 0
 
 
@@ -96,3 +102,12 @@ def test_query_has_all_turns(spark):
     data = "/root/testdata/sf0.001"
     got = QUERIES["op4_chat"](spark, data)
     assert got.count() == spark.read.parquet(f"{data}/conversations.parquet").count() and got.where("action <> 'keep' OR cost > 0").count() <= 4
+
+
+def test_answers_stay_answers(spark):
+    rows = [(1, 0, "assistant", "hello"), (1, 1, "user", "a"), (1, 2, "user", "b"), (2, 0, "system", "rules"), (3, 0, "user", "a"), (3, 1, "tool", "4"), (3, 2, "user", "b")]
+    got = {(r.conv_id, r.turn): r for r in chat.chat_turns(spark.createDataFrame(rows, TURNS)).collect()}
+    assert [(got[1, k].role, got[1, k].action, got[1, k].inserted) for k in range(3)] == [("assistant", "keep", ["user"]), ("user", "keep", []), ("user", "merge", [])]
+    assert got[1, 0].rendered == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n"
+    assert (got[2, 0].role, got[2, 0].inserted_after, got[2, 0].cost) == ("system", ["user"], 2) and got[2, 0].rendered.endswith("<|im_start|>user\n<|im_end|>\n")
+    assert [got[3, k].role for k in range(3)] == ["user", "assistant", "user"] and sum(got[3, k].cost for k in range(3)) == 3

@@ -103,6 +103,27 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.agg(total).first()[0] <= most else df
 
 
+#: Rows that go to a Python worker at a time where texts go with them.
+TEXT_ROWS = 1000
+
+
+class small_batches:  # noqa: N801
+    """Within the ``with`` block at most ``rows`` rows go to Python workers at a time, so a worker and the JVM beside it hold a few MB of text each."""
+
+    def __init__(self, spark: SparkSession, rows: int = TEXT_ROWS):
+        self.conf, self.name, self.rows = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", rows
+
+    def __enter__(self) -> None:
+        self.before = self.conf.get(self.name, None)
+        self.conf.set(self.name, str(min(self.rows, int(self.before or self.rows))))
+
+    def __exit__(self, *_: object) -> None:
+        if self.before is None:
+            self.conf.unset(self.name)
+        else:
+            self.conf.set(self.name, self.before)
+
+
 class Scratch:
     """Parquet tables in the shared folder that an operator needs while it runs.
 

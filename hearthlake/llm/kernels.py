@@ -7,6 +7,8 @@ and agree between tasks, machines and runs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,6 +80,13 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), at
 
 
+def release() -> None:
+    """Gives memory that is free back to the system, so a worker that lives on holds what it needs now and not what it once needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of the rows in them), each of at most ``most`` bytes or one row."""
     data, at = _buffers(column)
@@ -86,6 +95,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         upto = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
         yield row, upto, data[at[row] : at[upto]], at[row : upto + 1] - at[row]
         row = upto
+    release()
 
 
 def split(data: np.ndarray, at: np.ndarray, word_bytes: np.ndarray, lower: bool = True) -> Words:
@@ -242,6 +252,8 @@ def unpacked(batches: Iterator[pa.RecordBatch], alone: tuple[int, ...]) -> Itera
             parts.append(unpack(data[k].as_buffer()))
     if parts:
         yield now[1], [np.concatenate(x) for x in zip(*parts, strict=True)]
+    parts = []
+    release()
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

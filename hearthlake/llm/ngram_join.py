@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlake.llm import kernels as K
-from hearthlake.llm.common import Scratch, broadcast_if_small, cut
+from hearthlake.llm.common import Scratch, broadcast_if_small, cut, small_batches
 from hearthlake.llm.components import components
 
 #: Members of a group that a query opens first, and by how much later rounds grow.
@@ -341,7 +341,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     node; a null doc_id is linked with nothing and has no component_id.
     """
     spark, texts = docs.sparkSession, docs.select("doc_id", "text")
-    with Scratch(spark) as scratch:
+    with Scratch(spark) as scratch, small_batches(spark):
         buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
         cells = texts.mapInArrow(matrix(size, percent, buckets), "bucket int, kind byte, data binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
         cells = scratch.table(cells.mapInArrow(met, CELL))

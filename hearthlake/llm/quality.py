@@ -94,8 +94,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 20.0) -> R
 
     Pairs of both labels are drawn by ``seed``; logistic loss on differences of
     features. Strengths are then put on the scale of a probability by a logistic
-    fit of two numbers on the labels. ``cut`` is the score below which lies the
-    share of the sample that has label 0. Without both labels all scores are the
+    fit of two numbers on the labels. ``cut`` is the score quantile at the
+    share of the sample that has label 0 (of the two scores beside it the lower: where the labels part well it
+    is the highest score of label 0, and no document of label 1 lies below it). Without both labels all scores are the
     share of label 1 (0.5 without labels).
     """
     centre, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -111,7 +112,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 20.0) -> R
     strength = np.stack([z @ weights, np.ones(len(y))], 1)
     slope, level = _newton(strength, y.astype(float), np.array([1e-3, 1e-3]))
     model = Ranking(centre, scale, weights, float(slope), float(level), 0.0)
-    model.cut = float(np.quantile(model.score(x), len(bad) / len(y)))
+    model.cut = float(np.quantile(model.score(x), len(bad) / len(y), method="lower"))
     return model
 
 

@@ -44,6 +44,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", key: str = "node")
        until no node has two smaller ones. A hub with a third of all edges is the
        smaller end of most and so is never gathered in a task, and where it is the
        larger end, each task's star has sent it one edge only.
+       What is EDGES or fewer by then, which a task holds anyway, is contracted by one task and
+       done.
     2. What is left is a forest; each round halves a node's way to its root by a
        join of the nodes with their parents (adaptive execution splits a hub).
 
@@ -60,10 +62,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", key: str = "node")
     while True:
         edges = cut(edges.repartition("v").mapInArrow(_contract, kind))
         now = edges.agg(*state).first()
-        if now == before or not now[0]:
+        if now[0] <= EDGES:
+            edges = cut(edges.coalesce(1).mapInArrow(_contract, kind))
+            break
+        if now == before:
             break
         before = now
-    while now[0]:
+    while now[0] > EDGES:
         up = edges.select(F.col("v").alias("_v"), F.col("u").alias("_u"))
         edges = cut(edges.join(up, edges["u"] == up["_v"], "left").select("v", F.coalesce("_u", "u").alias("u")))
         if (now := edges.agg(*state).first()) == before:

@@ -73,3 +73,29 @@ def test_long_windows_are_refused(spark):
     rows = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     with pytest.raises(ValueError, match="window"):
         decontaminate.contamination(rows, rows.withColumnRenamed("doc_id", "item_id"), window=14)
+
+
+@pytest.mark.parametrize("edges", [1 << 20, 4])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, edges):
+    """What one task holds is contracted at once; more goes through rounds with the same result."""
+    import random
+
+    from hearthlake.llm import components
+
+    monkeypatch.setattr(components, "EDGES", edges)
+    rng = random.Random(4)
+    links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(5, 5), (None, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            u, v = sorted((find(a), find(b)))
+            parent[v] = u
+    want = {x: find(x) for x in parent}
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)

@@ -21,3 +21,10 @@ def bigrams(text: Column) -> Column:
 def overlap(query: Column, text: Column) -> Column:
     """Share of the query's pairs that the text has."""
     return F.size(F.array_intersect(query, text)) / F.nullif(F.size(query).cast("double"), F.lit(0.0))
+
+
+def share_within(query: str, text: Column) -> Column:
+    """Share of the distinct pairs of a given query that a ``plain`` text of any length has, without making the text's pairs."""
+    letters = "".join(c for c in query.lower() if c.isalnum())
+    pairs = dict.fromkeys([letters[i : i + 2] for i in range(len(letters) - 1)] or [letters] * bool(letters))
+    return sum((F.contains(text, F.lit(p)).cast("int") for p in pairs), F.lit(0)) / F.lit(float(len(pairs))) if pairs else F.lit(None).cast("double")

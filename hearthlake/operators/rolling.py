@@ -80,6 +80,8 @@ def per_group(predict: Callable, kind: str = "double") -> Forecaster:
             out["predicted"] = predict(past.sort_values("i")["value"].to_numpy(dtype=float), len(asked)) if len(past) else float("nan")
             return out
 
+        # both may come from the same rows; aliases make their columns their own
+        train, targets = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (train, targets))
         return train.groupBy(*groups).cogroup(targets.groupBy(*groups)).applyInPandas(one, schema)
 
     return run

@@ -387,12 +387,11 @@ def label_exclusion(spark, sf_dir: str) -> DataFrame:
     return joins.within_intervals(rows, labels, ["metric_key"], 300, "left_semi").groupBy("metric_key").agg(F.count("*").alias("excluded"))
 
 
-@query("""WITH k AS (SELECT doc_id, regexp_replace(lower(coalesce(substr(text, 1, 200), '')), '[^\\pL\\pN]', '', 'g') AS p FROM documents),
+@query("""WITH k AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\pL\\pN]', '', 'g') AS p FROM documents),
   b AS (SELECT doc_id, list_distinct(list_transform(range(1, length(p)), lambda i: substr(p, i, 2))) AS g FROM k)
   SELECT doc_id, round(len(list_intersect(g, ['th', 'he', 'er', 're'])) / 4.0, 4) AS score FROM b WHERE len(list_intersect(g, ['th', 'he', 'er', 're'])) > 0
   ORDER BY len(list_intersect(g, ['th', 'he', 'er', 're'])) DESC, doc_id LIMIT 20""")
 def keyword_search(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    query_pairs = texts.bigrams(texts.plain(F.lit("th ere")))
-    found = docs.select("doc_id", texts.overlap(query_pairs, texts.bigrams(texts.plain(F.substring("text", 1, 200)))).alias("score"))
+    found = docs.select("doc_id", texts.share_within("th ere", texts.plain(F.col("text"))).alias("score"))
     return found.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 4).alias("score"))

@@ -231,5 +231,5 @@ def stream_anomaly(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_eta(spark, sf_dir: str) -> DataFrame:
-    rows = live.events_stream(spark, sf_dir).withColumn("device_id", F.lit(0).cast("long"))
-    return live.run_once(live.eta_alarms(rows, 100, window_minutes=240), live.warehouse(spark))
+    rows = live.events_stream(spark, sf_dir)  # a device's readings are hours to days apart
+    return live.run_once(live.eta_alarms(rows, 100, window_minutes=14 * 1440, horizon_minutes=30 * 1440), live.warehouse(spark))

@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from hearthlake.functions.times import instant, minute_of_day, weekday
 from hearthlake.operators import stats
 from hearthlake.operators.kernels import theil_sen
+from hearthlake.operators.lineage import written
 from hearthlake.plans.templates import SENSITIVITY
 
 MESSAGE = (
@@ -81,9 +83,10 @@ def slotted(rows: DataFrame) -> DataFrame:
 
 def with_baseline(rows: DataFrame, history: DataFrame) -> DataFrame:
     """``rows`` (a stream) with centre and sigma of their device and metric at that time of
-    day; series of fewer than 30 values in ``history`` take their metric's."""
-    own = anomaly_baseline(history, ["device_id", "metric_key"])
-    metric = anomaly_baseline(history, ["metric_key"]).withColumnsRenamed({"centre": "_centre", "sigma": "_sigma"})
+    day; series of fewer than 30 values in ``history`` take their metric's. The baselines are made and written once,
+    so a micro-batch reads them and not the history."""
+    own = written(anomaly_baseline(history, ["device_id", "metric_key"]))
+    metric = written(anomaly_baseline(history, ["metric_key"])).withColumnsRenamed({"centre": "_centre", "sigma": "_sigma"})
     rows = slotted(rows).join(own, ["device_id", "metric_key", "day_type", "slot"], "left").join(metric, ["metric_key", "day_type", "slot"], "left")
     return rows.select("device_id", "metric_key", "time", "value", F.coalesce("centre", "_centre").alias("centre"), F.coalesce("sigma", "_sigma").alias("sigma"))
 
@@ -162,15 +165,24 @@ def eta_alarms(rows: DataFrame, threshold: float, up: bool = True, window_minute
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it has written (Parquet, exactly once by its checkpoint)."""
+    """Runs a stream over all that is there and returns what it has written (exactly once by its checkpoint); its folder is
+    deleted, whether it succeeds or not."""
     folder = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = stream.schema
+    schema, spark = stream.schema, stream.sparkSession
+    try:
+        return _run_once(stream, folder, mode, schema)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _run_once(stream: DataFrame, folder: str, mode: str, schema: StructType) -> DataFrame:
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     else:
         query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/rows")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
+    return written(stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows"))
 
 
 def warehouse(spark: SparkSession) -> str:

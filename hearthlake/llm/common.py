@@ -40,8 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that a lost executor
-    never has its lineage computed again; Spark's cleaner deletes the files when
-    no plan refers to them any more."""
+    never has its lineage computed again. Spark's cleaner deletes the files when
+    no plan refers to them any more, where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` on."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

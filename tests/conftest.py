@@ -12,7 +12,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.driver.memory", "3g").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", "/tmp/hearthlake-tests").getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", "/tmp/hearthlake-tests").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -93,6 +93,18 @@ def intensity(kwh: Column, area: Column) -> Column:
     return F.when(area > 0, kwh / area)
 
 
+def intensity_reason(area: Column) -> Column:
+    """Why there is no ``intensity``; null where there is one."""
+    return F.when(F.coalesce(area <= 0, F.lit(True)), "NO_AREA")
+
+
+def occupied_intensity(kwh: Column, occupied: Column, scheduled: Column) -> Column:
+    """Struct (value, reason, source): kWh an occupied hour, of estimated occupancy before the schedule's hours."""
+    source = F.when(occupied > 0, "OCCUPANCY_EST").when(scheduled > 0, "OPERATING_SCHEDULE")
+    hours = F.when(occupied > 0, occupied).when(scheduled > 0, scheduled)
+    return F.struct((kwh / hours).alias("value"), F.when(source.isNull(), "NO_OCCUPANCY").alias("reason"), source.alias("source"))
+
+
 def pick_source(daily: DataFrame, space: str = "space_id") -> DataFrame:
     """One row a space and day: the best kind of source that it has, its rows summed."""
     kinds = F.array_position(F.array(*[F.lit(k) for k in PRIORITY]), F.col("source_kind"))

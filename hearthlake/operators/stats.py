@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from hearthlake.functions.numbers import ratio
 from hearthlake.functions.times import ZONE, local, local_date, minute_of_day, weekday
+from hearthlake.operators.kernels import student_t
 from hearthlake.operators.windows import MAD
 
 
@@ -16,6 +20,45 @@ def median(x: Column | str) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
+@F.pandas_udf(DoubleType())
+def t_quantile(freedom: pd.Series) -> pd.Series:
+    """The 97.5 % quantile of Student's t, of rows of finished groups only."""
+    kinds, back = np.unique(freedom.to_numpy(float), return_inverse=True)
+    return pd.Series(student_t(kinds)[back])
+
+
+def bounded_line(rows: DataFrame, keys: list[str], x: str, y: str, also: list[Column] | None = None) -> DataFrame:
+    """(keys, n, slope, intercept, r2, error, low, high) of the least-squares line of y on x, from rows where both are known.
+
+    low and high bound the slope with 95 % by Student's t; error is its standard error. A constant x has no
+    line, a constant y R2 of 0; fewer than three rows have no interval. ``also``: further aggregates, kept as columns.
+    """
+    a, b = F.col(x), F.col(y)
+    sums = rows.groupBy(*keys).agg(
+        F.regr_count(b, a).alias("n"), F.regr_sxx(b, a).alias("_xx"), F.regr_syy(b, a).alias("_yy"), F.regr_sxy(b, a).alias("_xy"), F.regr_avgx(b, a).alias("_x"), F.regr_avgy(b, a).alias("_y"), *(also or [])
+    )
+    xx, yy, xy, none = F.col("_xx"), F.col("_yy"), F.col("_xy"), F.lit(0.0)
+    line = sums.withColumn("slope", F.when(xx > 0, xy / xx))
+    line = line.withColumns({"intercept": F.col("_y") - F.col("slope") * F.col("_x"), "r2": F.when(xx > 0, F.when(yy > 0, F.least(F.lit(1.0), xy * xy / F.nullif(xx * yy, none))).otherwise(0.0))})
+    line = line.withColumn("error", F.when((F.col("n") > 2) & (xx > 0), F.sqrt((1 - F.col("r2")) * yy / F.nullif(xx, none) / F.nullif((F.col("n") - 2).cast("double"), none))))
+    half = F.col("error") * t_quantile(F.when(F.col("n") > 2, F.col("n") - 2).cast("double"))
+    line = line.withColumn("_half", half).withColumns({"low": F.col("slope") - F.col("_half"), "high": F.col("slope") + F.col("_half")})
+    return line.drop("_xx", "_yy", "_xy", "_x", "_y", "_half")
+
+
+def constant(value: Column) -> Column:
+    """Aggregate: whether all known values are one (within 1e-9), or none is known."""
+    known = F.when(~F.isnan(value), value)
+    return F.coalesce(F.max(known) - F.min(known) <= 1e-9, F.lit(True))
+
+
+def unpredictable(rows: DataFrame, keys: list[str], least: int = 3, value: str = "value") -> DataFrame:
+    """(keys, reason): series that no forecast is made of: NO_CHANGE, or TOO_SHORT with fewer than ``least`` known values."""
+    known = F.count(F.when(~F.isnan(value), F.col(value)))
+    found = rows.groupBy(*keys).agg(F.when(known < least, "TOO_SHORT").when(constant(F.col(value)), "NO_CHANGE").alias("reason"))
+    return found.where("reason IS NOT NULL")
+
+
 def robust_sigma(rows: DataFrame, keys: list[str], value: str = "value", name: str = "sigma") -> DataFrame:
     """(keys, name): 1.4826 times the median distance from the median; nulls are skipped."""
     centre = rows.groupBy(*keys).agg(median(value).alias("_m"))

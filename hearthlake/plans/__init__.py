@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Fills the catalog."""
-    from hearthlake.plans import energy_queries, job_queries, telemetry_queries, template_queries  # noqa: F401
+    from hearthlake.plans import energy_queries, job_queries, room_queries, telemetry_queries, template_queries  # noqa: F401

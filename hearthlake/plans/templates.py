@@ -96,7 +96,7 @@ def forecast(hourly: DataFrame, keys: list[str], period: int | None = 24, horizo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(time)["value"].interpolate(limit_direction="both").to_numpy(float)
         name = {k: pdf[k].iloc[0] for k in keys}
-        if len(y) < 3:
+        if len(y) < 3 or np.nanmax(y) - np.nanmin(y) <= 1e-9:  # as stats.unpredictable says
             return pd.DataFrame({**{k: pd.Series([], dtype=object) for k in keys}, "step": pd.Series([], dtype="int32")}).reindex(columns=columns)
         held, cycle = max(1, min(len(y) // 5, horizon)), kernels.best_period(y) if period is None else period
         errors = np.abs(y[-held:] - ahead(y[:-held], cycle, held)) if len(y) > held + 2 else np.abs(np.diff(y))

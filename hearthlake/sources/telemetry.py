@@ -69,6 +69,15 @@ def binned(raw: DataFrame, level: str | int, keys: list[str], agg: str = "avg")
     return raw.groupBy(*keys, date_bin(F.col("time"), level).alias("bucket")).agg(f("value").alias("value"), F.max("quality").alias("quality"))
 
 
+def local_days(aggregate: DataFrame, device: int, metric: str, first: str, last: str, zone: str) -> DataFrame:
+    """(time, value): hourly means of one series over the local days ``first`` to ``last``, both included; bins that are empty or
+    virtual are left out. The bounds are literals, so they reach the files."""
+    start = F.to_utc_timestamp(F.lit(first).cast("timestamp"), zone)
+    end = F.to_utc_timestamp(F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 DAY"), zone)
+    rows = aggregate.where((F.col("device_id") == device) & (F.col("metric_key") == metric) & (F.col("bucket") >= start) & (F.col("bucket") < end))
+    return rows.where("count > 0 AND NOT is_virtual").select(F.col("bucket").alias("time"), F.col("avg").alias("value"))
+
+
 def across_devices(aggregate: DataFrame, keys: list[str], agg: str = "avg") -> DataFrame:
     """Bins of several devices from an aggregate table: every device counts once, however many samples it has."""
     f = {"avg": F.avg, "max": F.max, "min": F.min}[agg]

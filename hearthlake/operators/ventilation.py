@@ -72,7 +72,7 @@ def air_change_days(samples: DataFrame, sensors: DataFrame, spaces: DataFrame, f
     """Best estimate of each space with an enabled sensor and local day from ``first`` to ``last`` (both included), with its
     device, status and ventilation_m3h.
 
-    A day is one stretch here; where a day holds several, its parts go through ``decay_fits`` by a key of their own first.
+    A day of a device is one stretch: it is not cut into the decays that it may hold.
     A sensor that names no device of the metric has INPUT_MISSING on each day; a device without samples of a day has NO_DATA.
     ``samples``: device_id, metric_key, time, value; ``spaces``: space_id, area_m2, height_m.
     """

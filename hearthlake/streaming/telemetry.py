@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -91,6 +91,26 @@ def with_baseline(rows: DataFrame, history: DataFrame) -> DataFrame:
     return rows.select("device_id", "metric_key", "time", "value", F.coalesce("centre", "_centre").alias("centre"), F.coalesce("sigma", "_sigma").alias("sigma"))
 
 
+#: Series are dealt by hash to so many groups: one call and one row of state serve the series of a group, not one each.
+GROUPS = 512
+
+
+def _grouped(rows: DataFrame) -> GroupedData:
+    return rows.withColumn("_group", F.pmod(F.xxhash64("device_id", "metric_key"), F.lit(GROUPS))).groupBy("_group")
+
+
+def _series(frames: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, list[tuple]]:
+    """A group's rows by series and time, where each series begins (and the last ends), and the series' (device, metric)."""
+    rows = pd.concat(list(frames), ignore_index=True)
+    of = rows.groupby(["device_id", "metric_key"], sort=False, dropna=False).ngroup().to_numpy()
+    order = np.lexsort((rows["time"].fillna(pd.Timestamp.max).to_numpy(), of))
+    rows, of = rows.iloc[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    heads = rows.iloc[first]
+    names = [(None if pd.isna(d) else int(d), None if pd.isna(m) else m) for d, m in zip(heads["device_id"], heads["metric_key"], strict=True)]
+    return rows, np.append(first, len(rows)), names
+
+
 def anomaly_alarms(rows: DataFrame, profiles: pd.DataFrame | None = None, sensitivity: int = 3, cooldown_minutes: float = 10) -> DataFrame:
     """Alarms of readings whose |z| is over the threshold: LEVEL_SHIFT from the sixth in a row, else SPIKE
     or DROP; within the cooldown only if half as strong again as the last.
@@ -126,42 +146,99 @@ def anomaly_alarms(rows: DataFrame, profiles: pd.DataFrame | None = None, sensit
     )
 
 
+#: Slopes that are held at a time.
+SLOPES = 1 << 20
+
+
+def _trends(times: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(slope, level at the end, noise) of each window start to end, by ``theil_sen``: windows of one length together. Noise: the
+    spread of what the trend leaves, in what it makes of a step."""
+    out = np.full((3, len(start)), np.nan)
+    for n in np.unique(end - start + 1):
+        mine, (i, j) = np.flatnonzero(end - start + 1 == n), np.triu_indices(n, 1)
+        for some in np.array_split(mine, -(-len(mine) * len(i) // SLOPES)):
+            at = start[some][:, None] + np.arange(n)
+            x, y = times[at] - times[end[some]][:, None], values[at]
+            dx = x[:, j] - x[:, i]
+            with np.errstate(all="ignore"):
+                slope = np.median((y[:, j] - y[:, i]) / dx, axis=1)
+            for k in np.flatnonzero((dx == 0).any(1)):
+                slope[k] = theil_sen(x[k], y[k])[0]
+            level = np.median(y, axis=1) - slope * np.median(x, axis=1)
+            rest = y - (level[:, None] + slope[:, None] * x)
+            step = np.median(np.diff(x), axis=1)
+            spread = stats.MAD * np.median(np.abs(rest - np.median(rest, axis=1)[:, None]), axis=1)
+            with np.errstate(all="ignore"):
+                out[:, some] = slope, level, np.where(step != 0, spread / (np.abs(slope) * step), np.inf)
+    return out
+
+
 def eta_alarms(rows: DataFrame, threshold: float, up: bool = True, window_minutes: float = 30, horizon_minutes: float = 240) -> DataFrame:
     """Minutes until each series' trend over the last minutes meets a threshold, when that
-    figure or its confidence changes, or when the trend was unpredictable in between."""
+    figure or its confidence changes, or when the trend was unpredictable in between. State: the last minutes of each
+    series and what was said last."""
     sign = 1 if up else -1
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values, said, sure = state.get if state.exists else ([], [], None, None)
-        times, values, out = list(times), list(values), []
-        for row in pd.concat(list(frames)).sort_values("time").itertuples():
-            at = row.time.value / 6e10
-            times, values = [*times, at], [*values, float(row.value)]
-            first = next(i for i, t in enumerate(times) if t > at - window_minutes)
-            times, values = times[first:], values[first:]
-            if len(times) < 3 or times[-1] - times[0] < 10:
-                said = None
-                continue
-            x, y = np.array(times) - at, np.array(values)
-            slope, level, _, _ = theil_sen(x, y)
-            gap = threshold - level
-            if not abs(slope) >= 1e-12 or (sign * gap > 0 and sign * slope <= 0):
-                said = None
-                continue
-            rest = y - (level + slope * x)
-            step_minutes = float(np.median(np.diff(x)))
-            noise = stats.MAD * float(np.median(np.abs(rest - np.median(rest)))) / (abs(slope) * step_minutes) if step_minutes else np.inf
-            confidence = "HIGH" if noise < 0.5 else "MEDIUM" if noise < 1.5 else "LOW"
-            left = 0.0 if sign * gap <= 0 else gap / slope
-            if left <= horizon_minutes and (round(left), confidence) != (said, sure):
-                said, sure = int(round(left)), confidence
-                out.append((key[0], key[1], row.time, said, sure))
-        state.update((times, values, said, sure))
-        yield pd.DataFrame(out, columns=["device_id", "metric_key", "time", "minutes_left", "confidence"])
-
-    return rows.groupBy("device_id", "metric_key").applyInPandasWithState(
-        step, "device_id long, metric_key string, time timestamp, minutes_left int, confidence string", "times array<double>, values array<double>, said int, sure string", "append", GroupStateTimeout.NoTimeout
-    )
+        known = {}
+        if state.exists:
+            devices, metrics, counts, old_times, old_values, *said = state.get
+            upto = np.cumsum([0, *counts]).tolist()
+            known = {(d, m): (old_times[a:b], old_values[a:b], *x) for d, m, a, b, *x in zip(devices, metrics, upto, upto[1:], *said, strict=False)}
+        rows, first, names = _series(frames)
+        at_new, value_new = (rows["time"].to_numpy().astype("datetime64[us]").astype(np.int64) * 1000 / 6e10).tolist(), rows["value"].astype(float).tolist()
+        times, values, start, end, bounds = [], [], [], [], []
+        for name, a, b in zip(names, first.tolist(), first[1:].tolist(), strict=False):
+            old = known.get(name, ([], [], None, None))
+            low = len(times)
+            times += old[0]
+            values += old[1]
+            i = len(times)
+            times += at_new[a:b]
+            values += value_new[a:b]
+            for i in range(i, len(times)):
+                while not times[low] > times[i] - window_minutes:
+                    low += 1
+                start.append(low)
+                end.append(i)
+            bounds.append((low, len(times)))
+        t, y, start, end = np.array(times), np.array(values), np.array(start), np.array(end)
+        long = np.flatnonzero((end - start >= 2) & ~(t[end] - t[start] < 10))
+        slope, level, noise = _trends(t, y, start[long], end[long])
+        gap = threshold - level
+        with np.errstate(all="ignore"):
+            left = np.where(sign * gap <= 0, 0.0, gap / slope)
+        clear = np.zeros(len(end), bool)
+        clear[long] = (np.abs(slope) >= 1e-12) & ~((sign * gap > 0) & (sign * slope <= 0))
+        told = np.full(len(end), np.inf)
+        told[long] = np.rint(np.where(left <= horizon_minutes, left, np.inf))
+        sure = np.full(len(end), 2)
+        sure[long] = np.where(noise < 0.5, 0, np.where(noise < 1.5, 1, 2))
+        clear, told, sure, out = clear.tolist(), told.tolist(), sure.tolist(), []
+        for name, a, b, (low, high) in zip(names, first.tolist(), first[1:].tolist(), bounds, strict=False):
+            last, how = known.get(name, ([], [], None, None))[2:]
+            for k in range(a, b):
+                if not clear[k]:
+                    last = None
+                elif told[k] < np.inf and (told[k], SURE[sure[k]]) != (last, how):
+                    last, how = int(told[k]), SURE[sure[k]]
+                    out.append((*name, k, last, how))
+            known[name] = times[low:high], values[low:high], last, how
+        kept = list(known.values())
+        state.update((
+            [d for d, _ in known], [m for _, m in known], [len(x[0]) for x in kept], [v for x in kept for v in x[0]], [v for x in kept for v in x[1]], [x[2] for x in kept], [x[3] for x in kept],
+        ))
+        found = pd.DataFrame(out, columns=["device_id", "metric_key", "time", "minutes_left", "confidence"])
+        found["time"] = rows["time"].iloc[found["time"].astype(int)].to_numpy()
+        yield found
+
+    return _grouped(rows).applyInPandasWithState(
+        step, "device_id long, metric_key string, time timestamp, minutes_left int, confidence string",
+        "device array<long>, metric array<string>, n array<int>, times array<double>, values array<double>, said array<int>, sure array<string>", "append", GroupStateTimeout.NoTimeout,
+    )
+
+
+SURE = ["HIGH", "MEDIUM", "LOW"]
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -117,33 +117,45 @@ def anomaly_alarms(rows: DataFrame, profiles: pd.DataFrame | None = None, sensit
 
     ``profiles``: metric_key, centre and sigma, one row a metric; without, the rows have
     columns centre and sigma (``with_baseline``). State: run length,
-    time and strength of the last alarm, of each device and metric.
+    time and strength of the last alarm, of each device and metric that has one of them; only readings over the threshold
+    are gone through one by one.
     """
     base = None if profiles is None else {r.metric_key: (r.centre, max(r.sigma, 1e-9)) for r in profiles.itertuples()}
     limit = SENSITIVITY[sensitivity]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, last, strength = state.get if state.exists else (0, None, 0.0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("time").itertuples():
-            centre, sigma = (row.centre, max(row.sigma, 1e-9)) if base is None else base.get(key[1], (0.0, np.inf))
-            z = (row.value - centre) / sigma
-            if not abs(z) > limit:
-                run = 0
-                continue
-            run += 1
-            at = row.time.value // 1000
-            if last is not None and at - last < cooldown_minutes * 60e6 and abs(z) < 1.5 * strength:
+        known = {(d, m): rest for d, m, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        rows, first, names = _series(frames)
+        if base is None:
+            centre, sigma = rows["centre"].to_numpy(float), np.maximum(rows["sigma"].to_numpy(float), 1e-9)
+        else:
+            each = [base.get(m, (0.0, np.inf)) for _, m in names]
+            centre, sigma = (np.repeat([x[k] for x in each], np.diff(first)) for k in (0, 1))
+        value, at = rows["value"].to_numpy(float), rows["time"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        z = (value - centre) / sigma
+        over = np.abs(z) > limit
+        place, of = np.arange(len(z)), np.repeat(np.arange(len(names)), np.diff(first))
+        before = np.array([known.get(name, (0,))[0] for name in names])
+        calm = np.maximum.accumulate(np.where(over, -1, place))
+        run = np.where(over, np.where(calm >= first[of], place - calm, place - first[of] + 1 + before[of]), 0)
+        for name, n in zip(names, run[first[1:] - 1].tolist(), strict=True):
+            if name in known or n:
+                known[name] = [n, *known.get(name, (0, None, 0.0))[1:]]
+        out, hits = [], np.flatnonzero(over)
+        for i, s, n, strong in zip(hits.tolist(), of[hits].tolist(), run[hits].tolist(), z[hits].tolist(), strict=True):
+            kept = known.setdefault(names[s], [0, None, 0.0])
+            _, last, strength = kept
+            if last is not None and at[i] - last < cooldown_minutes * 60e6 and abs(strong) < 1.5 * strength:
                 continue
-            last, strength = at, float(abs(z))
-            kind = "LEVEL_SHIFT" if run >= 6 else "SPIKE" if z > 0 else "DROP"
-            out.append((key[0], key[1], row.time, float(row.value), round(strength, 4), kind))
-        state.update((run, last, strength))
+            kept[1:] = int(at[i]), abs(strong)
+            out.append((*names[s], rows["time"].iat[i], float(value[i]), round(abs(strong), 4), "LEVEL_SHIFT" if n >= 6 else "SPIKE" if strong > 0 else "DROP"))
+        state.update(tuple(list(x) for x in zip(*((*name, *kept) for name, kept in known.items()), strict=True)) or ([],) * 5)
         yield pd.DataFrame(out, columns=["device_id", "metric_key", "time", "value", "score", "kind"])
 
-    return rows.groupBy("device_id", "metric_key").applyInPandasWithState(
-        step, "device_id long, metric_key string, time timestamp, value double, score double, kind string", "run int, last long, strength double", "append", GroupStateTimeout.NoTimeout
-    )
+    return _grouped(rows).applyInPandasWithState(
+        step, "device_id long, metric_key string, time timestamp, value double, score double, kind string",
+        "device array<long>, metric array<string>, run array<int>, last array<long>, strength array<double>", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 #: Slopes that are held at a time.

@@ -31,7 +31,7 @@ def run(spark, folder, files, kind, name):
     return sorted(map(tuple, spark.table(name).collect())), len(batches), batches[-1]["stateOperators"][0]["numRowsTotal"]
 
 
-@pytest.mark.parametrize("kind", ["eta"])
+@pytest.mark.parametrize("kind", ["eta", "anomaly"])
 def test_state_rows_and_batches(spark, tmp_path, kind):
     rows = figures(random.Random(3), 1200, 3)
     _, _, state = run(spark, tmp_path, [rows], kind, f"{kind}_many")
